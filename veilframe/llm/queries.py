@@ -1,12 +1,26 @@
 """The queries of this subpackage and their SQL oracles."""
 
-from veilframe.llm import exact_dedup
+from veilframe.llm import exact_dedup, license_scan, packing, warc
 
 QUERIES = {
+    "op2_best_fit_packing": packing.query,
+    "op3_warc": warc.query,
+    "op6_license_scan": license_scan.query,
     "op7_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), g AS (
+            SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < top THEN top END AS refers_to
+        FROM p LEFT JOIN g USING (payload_digest)
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
