@@ -82,9 +82,10 @@ def test_rule(lengths):
     assert sorted(gaps.tolist()) == brute(lengths, 20)
 
 
-@pytest.mark.parametrize("block", [1, 7, 64])
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
 def test_blocks(block, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", block)
-    text = "One two, three's  four\n\nfive-six 78 nine " * 5
-    want = np.asarray(Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert packing.ChunkEncoder(VOCABULARY).ids(text) == want
+    texts = ["One two, three's  four\n\nfive-six 78 nine. " * 5, "", "a., b. c_. d_, 5, 6. (x). y", "Été, ça. ²³ ª,º µ. x", "中, 文. x", "it's, we'll. I'd 'tis", "end.\nnext,\n"]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    want = [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(packing.ChunkEncoder(VOCABULARY).many(texts)) == want

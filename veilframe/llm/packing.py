@@ -14,6 +14,8 @@ Texts of any length are handled in blocks that end at white space.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -27,12 +29,14 @@ from veilframe.llm.shared import Workspace
 
 LENGTH = 2048
 SHARD_ITEMS = 32_000
-#: Entries that a worker keeps of what white-space-free chunks encode to.
-CACHE_ENTRIES = 250_000
-#: Characters of a text that are handled at a time.
+#: Entries that a worker keeps of what chunks between white space encode to (about 200 bytes each).
+CACHE_ENTRIES = 800_000
+#: Characters of texts that are handled at a time.
 BLOCK = 1 << 20
-#: Characters for which cutting at white space is certain to give the tokenizer's own result.
-PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa1-ɏ]")
+#: What isn't certain to be tokenized alike in parts that are cut at white space, and in lower case.
+UNSURE = re.compile(r"[^\t-\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
+#: A comma or full stop that is part of a longer run of marks, so of one token with it.
+RUN = re.compile(r"(?:[^\w\s]|_)[.,]")
 BREAK = re.compile(r"[\t-\r\x20]")
 
 
@@ -43,30 +47,79 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, text: str) -> bytes:
-        if PLAIN.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out, at = [], 0
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    @classmethod
+    def of_worker(cls, path: str) -> ChunkEncoder:
+        """The encoder that this process keeps for all its tasks."""
+        kept = sys.modules.setdefault("_veilframe_encoders", types.ModuleType("_veilframe_encoders"))
+        if path not in kept.__dict__:
+            kept.__dict__[path] = cls(path)
+        return kept.__dict__[path]
+
+    def many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if size + len(text) > BLOCK and held:
+                yield from self.some(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        yield from self.some(held)
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of a block, or of one longer text."""
+        parts: list[list[str] | str] = []  # for each text its chunks, or itself
+        for text in texts:
+            if UNSURE.search(text):
+                parts.append(text)
+            elif len(text) > BLOCK and (found := BREAK.search(text, BLOCK)):
+                return [b"".join(self.some([part])[0] for part in self.cut(text, found.start()))]
+            else:
+                text = text.lower()
+                if not RUN.search(text):  # then these marks are tokens of their own
+                    text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+                parts.append(text.split())
+        self.learn(set().union(*(p for p in parts if not isinstance(p, str))))
+        known = self.known.__getitem__
+        return [self.plain(p) if isinstance(p, str) else b"".join(map(known, p)) for p in parts]
+
+    @staticmethod
+    def cut(text: str, first: int) -> Iterator[str]:
+        """A long text's parts of BLOCK characters up to the next white space; the first one's end is known."""
+        at, end = 0, first
         while at < len(text):
-            end = at + BLOCK
-            if end < len(text):
-                found = BREAK.search(text, end)
-                end = found.start() if found else len(text)
-            out.append(self.block(text[at:end]))
-            at = end
-        return b"".join(out)
-
-    def block(self, text: str) -> bytes:
-        chunks, known = text.split(), self.known
-        if missing := set(chunks) - known.keys():
-            if len(known) + len(missing) > CACHE_ENTRIES:
-                known.clear()
-                missing = set(chunks)
-            missing = list(missing)
-            for chunk, x in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[chunk] = np.asarray(x.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+            yield text[at:end]
+            found = BREAK.search(text, end + BLOCK)
+            at, end = end, found.start() if found else len(text)
+
+    def plain(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        known = self.known
+        missing = [c for c in chunks if c not in known]
+        if len(known) + len(missing) > CACHE_ENTRIES:
+            known.clear()
+            missing = list(chunks)
+        words = [c for c in missing if c.isalpha()]
+        # A chunk of letters is one word, whose last id is one that ends a word: so they can be encoded as one text.
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) == len(words):
+            data, at = ids.tobytes(), 0
+            for word, end in zip(words, ends.tolist(), strict=True):
+                known[word] = data[at:end]
+                at = end
+        else:
+            missing += words
+        rest = [c for c in missing if not c.isalpha() or c not in known]
+        for chunk, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[chunk] = np.asarray(x.ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, separator: int = 0) -> DataFrame:
@@ -76,12 +129,11 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, separator: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = ChunkEncoder(vocabulary), int(separator).to_bytes(4, "little")
+        encoder, end = ChunkEncoder.of_worker(vocabulary), int(separator).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
-                step = 4 * length
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), encoder.many([x.as_py() or "" for x in batch["text"]]), strict=True):
+                ids, step = found + end, 4 * length
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     rows.append((doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part)))
