@@ -1,14 +1,20 @@
 """The queries of this subpackage and their SQL oracles."""
 
-from veilframe.llm import exact_dedup, license_scan, packing, warc
+from veilframe.llm import exact_dedup, jaccard_join, lang_id, license_scan, media, mixing, packing, toxicity, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.query,
     "op3_warc": warc.query,
+    "op4_source_mixing": mixing.query,
+    "op5_jaccard_join": jaccard_join.query,
     "op6_license_scan": license_scan.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_media_ts": media.query,
+    "op9_toxicity": toxicity.query,
+    "op10_lang_id": lang_id.query,
 }
 
+#: Only what SQL can express; the others are tested against brute force, round trips or held-out accuracy.
 ORACLES = {
     "op3_warc": """
         WITH p AS (
