@@ -167,9 +167,8 @@ def possible(measure: Measure, x: str, y: str) -> Column:
     return (F.least(f"{x}.useful", f"{y}.useful") * scale >= need) & (F.least(f"{x}.n", f"{y}.n") * scale >= need)
 
 
-def linked_classes(ordered: DataFrame, sets: DataFrame, measure: Measure, work: Workspace) -> DataFrame:
-    """(node, root) of every class that links with another."""
-    keys = index_keys(ordered, measure, work)
+def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Workspace) -> DataFrame:
+    """(node, root) of every class that links with another of a list. keys: key, node, n, copies, useful."""
     best = F.max(F.struct((F.col("useful") / F.col("n")).alias("share"), "copies", "n", "useful", "node"))
     lists = keys.groupBy("key").agg(F.count("*").alias("members"), best.alias("pivot")).filter("members > 1")
     lists = work.keep(lists.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.useful").alias("pivot_useful")), "lists")
@@ -221,7 +220,7 @@ def join(docs: DataFrame, words: int, percent: int, work: Workspace) -> DataFram
     chosen = work.keep(narrow.join(candidates_by_sample(classes, work), "node"), "chosen")
     sets = full_sets(docs, chosen, words, work)
     ordered = ordered_sets(sets, measure, work)
-    roots = work.keep(linked_classes(ordered, sets, measure, work), "linked")
+    roots = work.keep(linked_classes(index_keys(ordered, measure, work), sets, measure, work), "linked")
     # A component's name is the smallest id of its documents.
     groups = roots.join(narrow.select("node", "keep_id"), "node").groupBy("root").agg(F.min("keep_id").alias("component_id"))
     named = roots.join(groups, "root").select("node", "component_id", F.lit(True).alias("is_linked"))

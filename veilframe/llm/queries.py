@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL oracles."""
 
-from veilframe.llm import exact_dedup, jaccard_join, lang_id, license_scan, media, mixing, packing, toxicity, warc
+from veilframe.llm import exact_dedup, jaccard_join, lang_id, license_scan, line_dedup, media, mixing, packing, toxicity, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_best_fit_packing": packing.query,
     "op3_warc": warc.query,
     "op4_source_mixing": mixing.query,
