@@ -1 +1 @@
-
+"""Masking and text functions as Column expressions."""

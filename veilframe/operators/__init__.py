@@ -1 +1 @@
-
+"""Detection, classification, scanning and masking operators over DataFrames."""

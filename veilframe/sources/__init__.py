@@ -1 +1 @@
-
+"""Readers and writers: spreadsheets, decks, strategies, audit logs."""
