@@ -19,9 +19,14 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f names it: keeps nested expressions from growing."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def strict_double(text: Column) -> Column:
     """The number that a text is, else null; no suffixes and no blanks, unlike a cast."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def plain(value: Column | str) -> Column:
@@ -43,47 +48,59 @@ def first_unit(clean: Column, of_unit, otherwise: Column) -> Column:
 
 def parse_number(value: Column | str) -> Column:
     """Text to double, with unit words and a trailing currency word; null if it isn't an amount."""
-    clean = plain(value)
-    drop = lambda x: F.regexp_replace(x, f"{YUAN}+$", "")
-    return first_unit(clean, lambda w: strict_double(drop(before(clean, w))) * F.lit(UNITS[w]), strict_double(drop(clean)))
+
+    def of(clean: Column) -> Column:
+        factor = first_unit(clean, lambda w: F.lit(UNITS[w]), F.lit(1.0))
+        number = first_unit(clean, lambda w: before(clean, w), clean)
+        return strict_double(F.regexp_replace(number, f"{YUAN}+$", "")) * factor
+
+    return let(plain(value), of)
 
 
 def extract_unit(value: Column | str) -> Column:
     """struct<number string, unit string>."""
-    clean = plain(value)
 
     def pair(number: Column, unit: Column) -> Column:
         return F.struct(number.alias("number"), unit.alias("unit"))
 
-    def of_unit(word: str) -> Column:
-        follows = F.startswith(F.substr(clean, F.locate(word, clean) + len(word)), F.lit(YUAN))
-        return pair(before(clean, word), F.when(follows, F.lit(word + YUAN)).otherwise(F.lit(word)))
+    def of(clean: Column) -> Column:
+        def of_unit(word: str) -> Column:
+            follows = F.startswith(F.substr(clean, F.locate(word, clean) + len(word)), F.lit(YUAN))
+            return pair(before(clean, word), F.when(follows, F.lit(word + YUAN)).otherwise(F.lit(word)))
+
+        tail = F.when(F.endswith(clean, F.lit(YUAN)), pair(F.substr(clean, F.lit(1), F.length(clean) - 1), F.lit(YUAN))).otherwise(pair(clean, F.lit("")))
+        return first_unit(clean, of_unit, tail)
 
-    tail = F.when(F.endswith(clean, F.lit(YUAN)), pair(F.substr(clean, F.lit(1), F.length(clean) - 1), F.lit(YUAN))).otherwise(pair(clean, F.lit("")))
-    return F.when(F.length(col(value)) == 0, pair(F.lit(""), F.lit(""))).otherwise(first_unit(clean, of_unit, tail))
+    return let(plain(value), of)
 
 
-def round_half_up(x: Column, places: int) -> Column:
+def round_half_up(x: Column, places: int | Column) -> Column:
     """Halves away from zero, on the double times a power of ten."""
-    f = F.lit(float(10**places))
+    f = F.pow(F.lit(10.0), places) if isinstance(places, Column) else F.lit(float(10**places))
     y = x * f
     return F.when(F.abs(y) < 9e15, F.when(y >= 0, F.floor(y + 0.5)).otherwise(F.ceil(y - 0.5)).cast("double") / f).otherwise(x)
 
 
-def format_amount(x: Column, places: int = 2) -> Column:
-    return F.format_number(round_half_up(x, places) + F.lit(0.0), places)
+def format_amount(x: Column, places: int | Column = 2) -> Column:
+    """With thousands separators; minus zero as zero."""
+    return F.call_function("format_number", round_half_up(x, places) + F.lit(0.0), places if isinstance(places, Column) else F.lit(places))
 
 
-def precision(value: Column | str, unit: str = "million", places: int = 2) -> Column:
+def precision(value: Column | str, unit: str | Column = "million", places: int | Column = 2) -> Column:
     """A rounder amount: whole numbers of its own unit, else decimals of the target unit; null if it can't be."""
-    own = extract_unit(value)
-    label = TARGETS.get(unit, (None, ""))[1]
-    number = strict_double(own["number"])
-    in_unit = F.concat(round_half_up(number, 0).cast("bigint").cast("string"), own["unit"])
-    x = parse_number(value)
-    zero = F.lit(f"0.{'0' * places}{label}{YUAN}")
-    scaled = F.concat(F.format_string(f"%.{places}f", round_half_up(x / F.lit(TARGETS[unit][0]), places)), F.lit(label + YUAN)) if unit in TARGETS else F.lit(None).cast("string")
-    return F.when(own["unit"] != "", in_unit).otherwise(F.when(x == 0, zero).otherwise(scaled))
+    unit, places = unit if isinstance(unit, Column) else F.lit(unit), places if isinstance(places, Column) else F.lit(places)
+    label, factor = F.lit(""), F.lit(None).cast("double")
+    for name, (f, text) in TARGETS.items():
+        label, factor = F.when(unit == name, text).otherwise(label), F.when(unit == name, F.lit(f)).otherwise(factor)
+
+    def of(row: Column) -> Column:
+        own, x = row["own"], row["x"]
+        in_unit = F.concat(round_half_up(strict_double(own["number"]), 0).cast("bigint").cast("string"), own["unit"])
+        zero = F.concat(F.lit("0."), F.repeat(F.lit("0"), places), label, F.lit(YUAN))
+        scaled = F.concat(F.replace(format_amount(x / factor, places), F.lit(","), F.lit("")), label, F.lit(YUAN))
+        return F.when(own["unit"] != "", in_unit).otherwise(F.when(x == 0, zero).otherwise(scaled))
+
+    return let(F.struct(extract_unit(value).alias("own"), parse_number(value).alias("x")), of)
 
 
 def fnv1a(text: Column | str) -> Column:
@@ -106,19 +123,18 @@ def unit_random(seed: Column) -> Column:
     """One step of the generator from a seed's bits: a double from 0 to 1."""
     # seed + 1 by halves, as the largest long has no successor; zero isn't a state.
     nxt = F.when(seed == F.lit(2**63 - 1), F.lit(-(2**63))).otherwise(seed + 1)
-    s = F.when(nxt == 0, F.lit(1).cast("bigint")).otherwise(nxt)
-    s = s.bitwiseXOR(F.shiftleft(s, 13))
-    s = s.bitwiseXOR(F.shiftrightunsigned(s, 7))
-    s = s.bitwiseXOR(F.shiftleft(s, 17))
-    return F.shiftrightunsigned(s, 11).cast("double") / F.lit(float(2**53))
+    first = F.when(nxt == 0, F.lit(1).cast("bigint")).otherwise(nxt)
+    second = let(first, lambda s: s.bitwiseXOR(F.shiftleft(s, 13)))
+    third = let(second, lambda s: s.bitwiseXOR(F.shiftrightunsigned(s, 7)))
+    last = let(third, lambda s: s.bitwiseXOR(F.shiftleft(s, 17)))
+    return F.shiftrightunsigned(last, 11).cast("double") / F.lit(float(2**53))
 
 
-def perturb(value: Column | str, percentage: float = 5.0) -> Column:
+def perturb(value: Column | str, percentage: float | Column = 5.0) -> Column:
     """The amount changed by at most the percentage, the same way each time; null if it can't be."""
-    if not 0 <= percentage <= 100:
-        return F.lit(None).cast("string")
-    x = parse_number(value)
-    return format_amount(x + x * F.lit(percentage / 100.0) * (unit_random(fnv1a(value)) * 2 - 1), 2)
+    p = percentage if isinstance(percentage, Column) else F.lit(float(percentage))
+    row = F.struct(parse_number(value).alias("x"), let(fnv1a(value), unit_random).alias("u"), p.alias("p"))
+    return let(row, lambda r: F.when(r["p"].between(0, 100), format_amount(r["x"] + r["x"] * (r["p"] / 100.0) * (r["u"] * 2 - 1), 2)))
 
 
 def grouped(digits: Column) -> Column:
@@ -139,13 +155,20 @@ def mask(value: Column | str) -> Column:
 
 def to_numeric_text(value: Column | str) -> Column:
     """The number in a masked amount as plain text (its unit isn't applied), else the text as it is."""
-    x = col(value)
-    for word in (",", YUAN, "百万", "亿", "千", " "):
-        x = F.replace(x, F.lit(word), F.lit(""))
-    n = strict_double(x)
-    whole = (n == F.floor(n)) & (F.abs(n) < 9e15)
-    text = F.when(whole, n.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(n.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.$", ""))
-    return F.coalesce(text, col(value))
+
+    def of(row: Column) -> Column:
+        n = row["n"]
+        whole = (n == F.floor(n)) & (F.abs(n) < 9e15)
+        text = F.when(whole, n.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(n.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.$", ""))
+        return F.coalesce(text, row["v"])
+
+    def with_number(v: Column) -> Column:
+        x = v
+        for word in (",", YUAN, "百万", "亿", "千", " "):
+            x = F.replace(x, F.lit(word), F.lit(""))
+        return let(F.struct(v.alias("v"), strict_double(x).alias("n")), of)
+
+    return let(col(value), with_number)
 
 
 def seeded_unit(seed: int) -> float:

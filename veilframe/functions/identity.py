@@ -17,13 +17,13 @@ def stars(n: Column) -> Column:
     return F.repeat(F.lit("*"), F.greatest(n, F.lit(0)))
 
 
-def mask_name(value: Column | str, keep_first: int = 1) -> Column:
+def mask_name(value: Column | str, keep_first: int | Column = 1) -> Column:
     """Han names keep their first characters, several words an initial and a star each, one word its first letters."""
-    name = F.trim(col(value))
-    head, n = F.left(name, F.lit(keep_first)), F.length(name)
+    name, keep_first = F.trim(col(value)), keep_first if isinstance(keep_first, Column) else F.lit(keep_first)
+    head, n = F.left(name, keep_first), F.length(name)
     first = F.substring_index(name, " ", 1)
     more = F.size(F.filter(F.split(name, r"\s+"), lambda w: w != "")) - 1
-    words = F.concat(F.left(first, F.lit(keep_first)), F.lit("*"), F.repeat(F.lit(" *"), more))
+    words = F.concat(F.left(first, keep_first), F.lit("*"), F.repeat(F.lit(" *"), more))
     return F.when(n <= keep_first, name).when(name.rlike("^" + CJK), F.concat(head, stars(n - keep_first))).when(F.contains(name, F.lit(" ")), words).otherwise(F.concat(head, stars(n - keep_first)))
 
 
@@ -44,12 +44,15 @@ def mask_account(value: Column | str, keep_prefix: int = 3, keep_suffix: int = 4
 
 def alias_letters(n: Column) -> Column:
     """1 is A, 26 is Z, 27 is AA: letters without a zero."""
-    out, rest = F.lit(""), n.cast("bigint")
-    for _ in range(8):
-        digit = F.pmod(rest - 1, F.lit(26))
-        out = F.when(rest > 0, F.concat(F.chr(digit + 65), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0).cast("bigint"))
-    return out
+    start = F.struct(n.cast("bigint").alias("rest"), F.lit("").alias("out"))
+
+    def step(acc: Column, _: Column) -> Column:
+        rest = acc["rest"]
+        letter = F.concat(F.chr(F.pmod(rest - 1, F.lit(26)) + 65), acc["out"])
+        return F.struct(F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(rest).alias("rest"), F.when(rest > 0, letter).otherwise(acc["out"]).alias("out"))
+
+    # Fourteen letters are more than a long has.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["out"])
 
 
 def column_letters(index: Column | str) -> Column:

@@ -124,14 +124,24 @@ def suppress(hits: Column) -> Column:
         clash = F.exists(acc, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"]))
         return F.when((x["priority"] > 0) & clash, acc).otherwise(F.concat(acc, F.array(x)))
 
-    kind = "struct<priority:int,ord:int,rule:string,detected_type:string,start:int,end:int,value:string>"
-    return F.aggregate(hits, none_of(kind), step)
+    return F.aggregate(hits, none_of(RANKED), step)
+
+
+RANKED = "struct<priority:int,ord:int,rule:string,detected_type:string,start:int,end:int,value:string>"
+
+
+def hit_of(i: int, r: PatternRule):
+    """A function from a rule's span to a hit."""
+
+    def hit(x: Column) -> Column:
+        return F.struct(F.lit(r.priority).alias("priority"), F.lit(i).alias("ord"), F.lit(r.name).alias("rule"), F.lit(r.detected_type).alias("detected_type"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")).cast(RANKED)
+
+    return hit
 
 
 def scan_text(text: Column, rules: tuple[PatternRule, ...] = PATTERNS, prefilter: bool = True) -> Column:
     """array<struct<ord, rule, detected_type, start, end, value>>: what the rules find, in rule order, then by place."""
     groups = []
-    kind = "struct<priority:int,ord:int,rule:string,detected_type:string,start:int,end:int,value:string>"
     for i, r in sorted(enumerate(rules), key=lambda x: x[1].priority):
         if r.pattern is None:
             spans = dictionary_spans(text, r.words) if len(r.words) <= NATIVE_WORDS else dictionary_column(r.words)(text)
@@ -139,8 +149,7 @@ def scan_text(text: Column, rules: tuple[PatternRule, ...] = PATTERNS, prefilter
             spans = regex_spans(text, r.pattern)
         if r.detected_type == "amount":
             spans = F.filter(spans, lambda x: ~is_short_number(x["value"]))
-        # The rule's own values are bound here, as the expression is made at once.
-        groups.append(F.transform(spans, lambda x, r=r, i=i: F.struct(F.lit(r.priority).alias("priority"), F.lit(i).alias("ord"), F.lit(r.name).alias("rule"), F.lit(r.detected_type).alias("detected_type"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")).cast(kind)))
+        groups.append(F.transform(spans, hit_of(i, r)))
     found = F.transform(suppress(F.flatten(F.array(*groups))), lambda x: F.struct(*[x[c].alias(c) for c in ("ord", "rule", "detected_type", "start", "end", "value")]).cast(HIT))
     if prefilter and rules == PATTERNS:
         words = "|".join(re.escape(w) for r in rules for w in r.words)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import amount, identity
 from veilframe.operators.alias import aliases
+from veilframe.operators.rules import ACTIONS
 
 PARAMS = "struct<unit:string,decimal_places:string,percentage:string,prefix:string,keep_first:string,keep_prefix:string,keep_suffix:string,char:string>"
 #: The most decimals and kept characters that parameters may ask for; others count as given wrongly.
@@ -26,33 +27,33 @@ def typed(params: Column) -> Column:
 
 def masked(value: Column, action: Column, params: Column, alias: Column | None = None) -> Column:
     """struct<value, error>: one of both is null. alias: the value's alias, where that action may occur."""
-    p = typed(params)
+    alias = alias if alias is not None else F.lit(None).cast("string")
 
-    def by(choices, test, make) -> Column:
+    def of(r: Column) -> Column:
+        v, p, action = r["v"], r["p"], r["action"]
+        done = {
+            "precision": lambda: amount.precision(v, p["unit"], p["decimal_places"]), "perturb": lambda: amount.perturb(v, p["percentage"]), "mask": lambda: amount.mask(v),
+            "mask_name": lambda: identity.mask_name(v, p["keep_first"]), "mask_account": lambda: identity.mask_account(v, p["keep_prefix"], p["keep_suffix"], p["char"]), "alias": lambda: r["alias"],
+        }
         out = F.lit(None).cast("string")
-        for c in choices:
-            out = F.when(test == F.lit(c), make(c)).otherwise(out)
-        return out
+        for k, make in done.items():
+            out = F.when(action == k, make()).otherwise(out)
+        return F.struct(out.alias("out"), r.alias("r"))
 
-    places = lambda unit: by(range(PLACES + 1), p["decimal_places"], lambda k: amount.precision(value, unit, k))
-    precision = F.coalesce(by(amount.TARGETS, p["unit"], places), by(range(PLACES + 1), p["decimal_places"], lambda k: amount.precision(value, "", k)))
-    x = amount.parse_number(value)
-    change = x * (p["percentage"] / 100.0) * (amount.unit_random(amount.fnv1a(value)) * 2 - 1)
-    perturb = F.when(p["percentage"].between(0, 100), amount.format_amount(x + change, 2))
-    name = by(range(1, KEPT + 1), p["keep_first"], lambda k: identity.mask_name(value, k))
-    account = identity.mask_account(value, p["keep_prefix"], p["keep_suffix"], p["char"])
-    done = {"precision": precision, "perturb": perturb, "mask": amount.mask(value), "mask_name": F.coalesce(name, value), "mask_account": account, "alias": alias if alias is not None else F.lit(None).cast("string")}
-    out = F.lit(None).cast("string")
-    for k, v in done.items():
-        out = F.when(action == k, v).otherwise(out)
-    error = (
-        F.when(action.isin("differential_shift", "proportional_scale"), F.concat(action, F.lit(" works on all values of a column at once")))
-        .when(~action.isin(*done) | action.isNull(), F.concat(F.lit("unknown action: "), F.coalesce(action, F.lit("null"))))
-        .when((action == "precision") & (amount.extract_unit(value)["unit"] == "") & x.isNotNull() & ~p["unit"].isin(*amount.TARGETS), F.concat(F.lit("unknown unit: "), p["unit"]))
-        .when((action == "perturb") & ~p["percentage"].between(0, 100), F.lit("the percentage isn't from 0 to 100"))
-        .otherwise(F.concat(F.lit("not an amount: "), value))
-    )
-    return F.struct(out.alias("value"), F.when(out.isNull(), error).alias("error"))
+    def explained(x: Column) -> Column:
+        r = x["r"]
+        v, p, action = r["v"], r["p"], r["action"]
+        error = (
+            F.when(action.isin("differential_shift", "proportional_scale"), F.concat(action, F.lit(" works on all values of a column at once")))
+            .when(~action.isin(*ACTIONS) | action.isNull(), F.concat(F.lit("unknown action: "), F.coalesce(action, F.lit("null"))))
+            .when((action == "precision") & ~p["unit"].isin(*amount.TARGETS), F.concat(F.lit("unknown unit: "), p["unit"]))
+            .when((action == "perturb") & ~p["percentage"].between(0, 100), F.lit("the percentage isn't from 0 to 100"))
+            .otherwise(F.concat(F.lit("not an amount: "), v))
+        )
+        return F.struct(x["out"].alias("value"), F.when(x["out"].isNull(), error).alias("error"))
+
+    row = F.struct(value.alias("v"), typed(params).alias("p"), action.alias("action"), alias.alias("alias"))
+    return amount.let(amount.let(row, of), explained)
 
 
 def redact(df: DataFrame, value: str = "value", action: str = "action", params: str = "params", ord: str = "ord") -> DataFrame:
