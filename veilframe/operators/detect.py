@@ -50,7 +50,7 @@ def word_places(text: Column, word: str) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         own = F.array(F.struct(acc["at"].alias("start"), (acc["at"] + len(word)).alias("end"), F.lit(word).alias("value")).cast(SPAN))
-        return F.struct((acc["at"] + F.length(x)).alias("at"), F.when(F.startswith(x, F.lit(word)), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+        return F.struct((acc["at"] + F.length(x)).alias("at"), F.when(F.substr(text, acc["at"] + 1, F.lit(len(word))) == word, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
     return F.when(F.contains(text, F.lit(word)), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(none_of(SPAN))
 

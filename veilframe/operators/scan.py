@@ -59,6 +59,7 @@ def found_in(df: DataFrame, text: str, rules: tuple[PatternRule, ...] = PATTERNS
     return hit.select(*df.columns, F.col("_hit.ord").alias("rule_ord"), F.col("_hit.start").alias("start"), F.col("_hit.value").alias("original_value"), F.col("_hit.detected_type").alias("detected_type"), F.lit("fulltext_scan").alias("discovered_by"), choice["action"].alias("action"), choice["params"].alias("params"))
 
 
+CELL = ["file", "sheet_idx", "sheet", "row", "col", "text"]
 SITE = ["file", "sheet_idx", "sheet", "row", "col", "rule_ord", "start", "site_id", "location", "original_value", "detected_type", "discovered_by", "action", "params"]
 
 
@@ -73,8 +74,11 @@ def sheet_rules(names: DataFrame, rules: tuple[ColumnRule, ...] = COLUMNS) -> Da
     return hit.withColumn("_r", rule_part(F.col("rule_ord"), rules)).select(*SHEET, "col", F.trim("name").alias("name"), "rule_ord", "_r.action", "_r.params", "_r.detected_type")
 
 
-def scan_form(cells: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
-    """Sites of forms: the first header in the first five rows fixes one column, whose later cells follow its rule."""
+def form_parts(cells: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """Sites by the header of a form, and the cells whose text is to be scanned.
+
+    The first header in the first five rows fixes one column, whose later cells follow its rule.
+    """
     own = cells.filter(F.length(F.trim("text")) > 0).withColumn("text", F.trim("text"))
     heads = own.filter("row < 5").withColumn("rule", match_header(F.col("text"), columns)).filter("rule is not null")
     head = heads.groupBy(*SHEET).agg(F.min(F.struct("row", "col", "rule", "text")).alias("head"))
@@ -83,18 +87,27 @@ def scan_form(cells: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS, patte
     is_head = F.coalesce((F.col("col") == F.col("head.col")) & (F.col("row") == F.col("head.row")), F.lit(False))
     ruled = joined.filter(below).withColumn("_r", rule_part(F.col("head.rule"), columns))
     ruled = ruled.withColumn("rule_ord", F.col("head.rule")).withColumn("start", F.lit(0)).withColumn("original_value", F.col("text")).withColumn("detected_type", F.col("_r.detected_type")).withColumn("discovered_by", F.lit("column_rule")).withColumn("action", F.col("_r.action")).withColumn("params", F.col("_r.params")).withColumn("column_name", F.col("head.text"))
-    free = found_in(joined.filter(~below & ~is_head).drop("head"), "text", patterns)
-    return cell_sites(ruled, F.col("column_name")).unionByName(cell_sites(free))
+    return cell_sites(ruled, F.col("column_name")), joined.filter(~below & ~is_head).select(*CELL)
 
 
-def scan_extra(cells: DataFrame, spans: DataFrame, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
-    """Sites of data sheets outside their columns: all above the header, and lone texts of the first column below it."""
+def scan_form(cells: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
+    """Sites of forms."""
+    ruled, free = form_parts(cells, columns)
+    return ruled.unionByName(cell_sites(found_in(free, "text", patterns)))
+
+
+def extra_cells(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """Cells of data sheets outside their columns: all above the header, and lone texts of the first column below it."""
     joined = cells.join(spans, SHEET)
     above = joined.filter("row < header_start")
     beside = cells.filter("col = 1").select(*SHEET, "row")
     lone = joined.filter("row > header_end and col = 0").join(beside, [*SHEET, "row"], "left_anti")
-    texts = above.unionByName(lone).filter(F.length(F.trim("text")) > 0)
-    return cell_sites(found_in(texts.drop("header_start", "header_end"), "text", patterns))
+    return above.unionByName(lone).filter(F.length(F.trim("text")) > 0).select(*CELL)
+
+
+def scan_extra(cells: DataFrame, spans: DataFrame, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
+    """Sites of data sheets outside their columns."""
+    return cell_sites(found_in(extra_cells(cells, spans), "text", patterns))
 
 
 def scan_workbook(cells: DataFrame, sheets: DataFrame, spans: DataFrame, names: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
@@ -102,42 +115,60 @@ def scan_workbook(cells: DataFrame, sheets: DataFrame, spans: DataFrame, names:
     ruled = sheet_rules(names.join(sheets.filter("sheet_type = 'data'").select(*SHEET), SHEET, "left_semi"), columns).select(*SHEET).distinct()
     data = cells.join(ruled, SHEET, "left_semi")
     forms = cells.join(sheets.select(*SHEET), SHEET, "left_semi").join(ruled, SHEET, "left_anti")
-    return scan_extra(data, spans, patterns).unionByName(scan_form(forms, columns, patterns))
+    by_header, free = form_parts(forms, columns)
+    # One scan of all texts, so that the rules are in the plan once.
+    return by_header.unionByName(cell_sites(found_in(free.unionByName(extra_cells(data, spans)), "text", patterns)))
 
 
 DECK_SITE = ["file", "slide", "part_ord", "shape_ord", "para_idx", "row", "col", "rule_ord", "start", "site_id", "location", "original_value", "detected_type", "discovered_by", "action", "params"]
 
 
-def scan_table(cells: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
-    """Sites of deck tables (file, slide, shape_ord, shape_id, shape_name, row, col, text): the first row is the header."""
+DECK_TEXT = ["file", "slide", "part_ord", "shape_ord", "para_idx", "row", "col", "site_id", "location", "text"]
+
+
+def deck_sites(hits: DataFrame) -> DataFrame:
+    return hits.select(*DECK_SITE)
+
+
+def by_rule(rows: DataFrame, columns: tuple[ColumnRule, ...], value) -> DataFrame:
+    """Sites of rows with a rule; value(detected_type) is what is found."""
+    out = rows.filter("rule is not null").withColumn("_r", rule_part(F.col("rule"), columns)).withColumn("detected_type", F.col("_r.detected_type"))
+    out = out.withColumn("original_value", value(F.col("detected_type"))).withColumn("rule_ord", F.col("rule")).withColumn("start", F.lit(0)).withColumn("discovered_by", F.lit("column_rule"))
+    return deck_sites(out.withColumn("action", F.col("_r.action")).withColumn("params", F.col("_r.params")))
+
+
+def table_parts(cells: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """Sites by the header of deck tables (their first row), and the cells whose text is to be scanned."""
     keys = ["file", "slide", "shape_ord"]
     own = cells.filter(F.length(F.trim("text")) > 0)
     heads = own.filter("row = 0").withColumn("rule", match_header(F.col("text"), columns)).filter("rule is not null").select(*keys, "col", "rule")
-    body = own.filter("row > 0").join(heads, [*keys, "col"], "left")
-    ruled = body.filter("rule is not null").withColumn("_r", rule_part(F.col("rule"), columns))
-    ruled = ruled.withColumn("rule_ord", F.col("rule")).withColumn("start", F.lit(0)).withColumn("original_value", F.trim("text")).withColumn("detected_type", F.col("_r.detected_type")).withColumn("discovered_by", F.lit("column_rule")).withColumn("action", F.col("_r.action")).withColumn("params", F.col("_r.params")).drop("_r", "rule")
-    free = found_in(body.filter("rule is null").drop("rule"), "text", patterns)
-    both = ruled.unionByName(free.select(*ruled.columns))
     place = F.format_string("R%dC%d", F.col("row") + 1, F.col("col") + 1)
-    both = both.withColumn("site_id", F.concat_ws("_", F.lit("slide"), F.col("slide").cast("string"), "shape_id", place)).withColumn("location", deck_place(F.col("slide"), F.col("shape_name"), place))
-    return both.withColumn("part_ord", F.lit(0)).withColumn("para_idx", F.lit(0)).select(*DECK_SITE)
+    body = own.filter("row > 0").join(heads, [*keys, "col"], "left").withColumn("site_id", F.concat_ws("_", F.lit("slide"), F.col("slide").cast("string"), "shape_id", place))
+    body = body.withColumn("location", deck_place(F.col("slide"), F.col("shape_name"), place)).withColumn("part_ord", F.lit(0)).withColumn("para_idx", F.lit(0))
+    return by_rule(body, columns, lambda kind: F.trim("text")), body.filter("rule is null").select(*DECK_TEXT)
+
+
+def scan_table(cells: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
+    """Sites of deck tables (file, slide, shape_ord, shape_id, shape_name, row, col, text)."""
+    ruled, free = table_parts(cells, columns)
+    return ruled.unionByName(deck_sites(found_in(free, "text", patterns)))
 
 
 def scan_deck(texts: DataFrame, columns: tuple[ColumnRule, ...] = COLUMNS, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
     """Sites of ppt_text rows: text boxes in full, tables by header, short notes by a header rule or else in full."""
-    boxes = found_in(texts.filter("part = 'textbox'"), "text", patterns)
-    boxes = boxes.withColumn("site_id", F.concat_ws("_", F.lit("slide"), F.col("slide").cast("string"), "shape_id")).withColumn("location", deck_place(F.col("slide"), F.col("shape_name"))).withColumn("part_ord", F.lit(0)).select(*DECK_SITE)
-    tables = scan_table(texts.filter("part = 'table'"), columns, patterns)
+    boxes = texts.filter("part = 'textbox'").withColumn("site_id", F.concat_ws("_", F.lit("slide"), F.col("slide").cast("string"), "shape_id")).withColumn("location", deck_place(F.col("slide"), F.col("shape_name"))).withColumn("part_ord", F.lit(0))
+    ruled_cells, free_cells = table_parts(texts.filter("part = 'table'"), columns)
     notes = texts.filter("part = 'notes'").withColumn("rule", F.when(F.length(F.trim("text")) <= NOTE_LENGTH, match_header(F.col("text"), columns)))
-    ruled = notes.filter("rule is not null").withColumn("_r", rule_part(F.col("rule"), columns)).withColumn("detected_type", F.col("_r.detected_type"))
-    value = F.col("text")
-    for kind in ("amount", "entity", "person", "account"):
-        value = F.when(F.col("detected_type") == kind, value_in(F.trim("text"), kind)).otherwise(value)
-    ruled = ruled.withColumn("original_value", value).withColumn("rule_ord", F.col("rule")).withColumn("start", F.lit(0)).withColumn("discovered_by", F.lit("column_rule")).withColumn("action", F.col("_r.action")).withColumn("params", F.col("_r.params")).drop("_r", "rule")
-    free = found_in(notes.filter("rule is null").drop("rule"), "text", patterns)
-    both = ruled.unionByName(free.select(*ruled.columns))
-    both = both.withColumn("site_id", F.concat(F.lit("notes_"), F.col("slide").cast("string"))).withColumn("location", deck_place(F.col("slide"), F.lit("notes"))).withColumn("part_ord", F.lit(1)).select(*DECK_SITE)
-    return boxes.unionByName(tables).unionByName(both)
+    notes = notes.withColumn("site_id", F.concat(F.lit("notes_"), F.col("slide").cast("string"))).withColumn("location", deck_place(F.col("slide"), F.lit("notes"))).withColumn("part_ord", F.lit(1))
+
+    def value(kind: Column) -> Column:
+        out = F.col("text")
+        for k in ("amount", "entity", "person", "account"):
+            out = F.when(kind == k, value_in(F.trim("text"), k)).otherwise(out)
+        return out
+
+    free = boxes.select(*DECK_TEXT).unionByName(free_cells).unionByName(notes.filter("rule is null").select(*DECK_TEXT))
+    return ruled_cells.unionByName(by_rule(notes, columns, value)).unionByName(deck_sites(found_in(free, "text", patterns)))
 
 
 def dedup_sites(sites: DataFrame, keys: list[str], ord: str = "ord") -> DataFrame:
