@@ -38,7 +38,7 @@ from veilframe.llm.shingles import WordHasher, shingle_set
 RARE = 16
 #: Prefixes longer than this use single tokens of the frequent class, not pairs.
 PAIR_PREFIX = 24
-#: Ids up to which a selection of documents is broadcast (8 bytes each); beyond, it is joined by shuffle.
+#: Ids up to which a selection of documents is broadcast (at most 60 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 500_000
 
 
@@ -59,7 +59,7 @@ class Measure:
 
     def need(self, n):
         """Tokens of their samples that two sets share if the smaller one has n; it never falls with n."""
-        return np.maximum(1, self.prefix(n) // 4)
+        return np.maximum(1, n // 10)
 
     def sample(self, n):
         return self.prefix(n) + self.need(n) - 1
@@ -103,21 +103,28 @@ def sets_of(docs: DataFrame, words: int, measure: Measure | None) -> DataFrame:
 
 def candidates_by_sample(classes: DataFrame, work: Workspace) -> DataFrame:
     """The nodes that share enough of their sample with others."""
-    tokens = classes.select("node", "need", F.explode("tokens").alias("token"))
+    tokens = classes.select("node", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
     shared = work.keep(shared, "shared")
-    enough = tokens.join(shared, "token").groupBy("node").agg(F.count("*").alias("found"), F.first("need").alias("need"))
-    return work.keep(enough.filter("found >= need").select("node"), "enough")
+    found = tokens.join(shared, "token").groupBy("node").agg(F.count("*").alias("found"))
+    enough = found.join(classes.select("node", "need"), "node").filter("found >= need").select("node")
+    return work.keep(enough, "enough")
 
 
 def full_sets(docs: DataFrame, chosen: DataFrame, words: int, work: Workspace) -> DataFrame:
     """node, n, copies and all tokens of the chosen classes (node, digest, keep_id, copies)."""
     ids = chosen.select(F.col("keep_id").alias("id"))
-    ids = F.broadcast(ids) if chosen.count() <= BROADCAST_IDS else ids
+    total = chosen.count()
+    few = total <= BROADCAST_IDS
+    ids = F.broadcast(ids) if few else ids
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     found = sets_of(own, words, None).filter("n > 0").select("digest", "n", "tokens")
-    found = found.join(chosen.select("digest", "node", "copies"), "digest")
+    known = chosen.select("digest", "node", "copies")
+    found = work.keep(found.join(F.broadcast(known) if few else known, "digest").select("node", "n", "copies", "tokens"), "found-sets")
+    if found.count() == total:
+        return found
+    # Rows that are repeated, or share an id, gave a set more than once.
     return work.keep(found.groupBy("node").agg(F.first("n").alias("n"), F.first("copies").alias("copies"), F.first("tokens").alias("tokens")), "sets")
 
 
@@ -216,10 +223,17 @@ def join(docs: DataFrame, words: int, percent: int, work: Workspace) -> DataFram
     rows = work.keep(sets_of(docs, words, measure), "rows")
     classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("tokens").alias("tokens"))
     classes = work.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    narrow = classes.select("node", "digest", "keep_id", "copies", "n")
+    rows = work.keep(rows.select("doc_id", "n", "digest"), "ids")
+    work.drop("rows")
+    work.release()
+    narrow = work.keep(classes.select("node", "digest", "keep_id", "copies", "n"), "narrow")
     chosen = work.keep(narrow.join(candidates_by_sample(classes, work), "node"), "chosen")
+    for done in ("classes", "shared", "enough"):
+        work.drop(done)
+    work.release()
     sets = full_sets(docs, chosen, words, work)
     ordered = ordered_sets(sets, measure, work)
+    work.release()
     roots = work.keep(linked_classes(index_keys(ordered, measure, work), sets, measure, work), "linked")
     # A component's name is the smallest id of its documents.
     groups = roots.join(narrow.select("node", "keep_id"), "node").groupBy("root").agg(F.min("keep_id").alias("component_id"))

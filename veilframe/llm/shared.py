@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,11 @@ class Workspace:
         df.write.mode("overwrite").options(**({"compression": "zstd"} | options)).parquet(self.path(label))
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
+    def release(self) -> None:
+        """Have the driver collect its garbage, so that shuffle files of plans that have run are deleted now."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, label: str = "") -> None:
         """Delete a table that no pending plan reads any more (all tables if label is empty)."""
         jvm = self.spark._jvm
