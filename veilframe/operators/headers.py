@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilframe.functions.amount import let
 from veilframe.operators.classify import SHEET
 
 SEARCH_ROWS, HEADER_ROWS = 20, 5
@@ -41,7 +42,10 @@ def not_blank(values: Column) -> Column:
 
 def is_annotation(values: Column) -> Column:
     """A note: it begins with a note's word, or at least half of its texts are short and not Chinese."""
-    own = not_blank(values)
+    return let(not_blank(values), annotation_of)
+
+
+def annotation_of(own: Column) -> Column:
     first = F.try_element_at(own, F.lit(1))
     begins = F.lit(False)
     for word in NOTES:
@@ -52,12 +56,15 @@ def is_annotation(values: Column) -> Column:
 
 def is_data(values: Column) -> Column:
     """A row of data, by five tests in order; the first that says so decides."""
-    n, joined = F.size(values), F.array_join(values, "")
-    han = han_length(joined)
-    han_share, numbers = share(han, F.length(joined)), count(values, is_number_like)
-    unique = share(F.size(F.array_distinct(values)), n)
+    joined = F.array_join(values, "")
+    row = F.struct(values.alias("values"), F.size(values).alias("n"), han_length(joined).alias("han"), F.length(joined).alias("length"), count(values, is_number_like).alias("numbers"), F.size(F.array_distinct(values)).alias("different"))
+    return let(row, data_of)
+
+
+def data_of(row: Column) -> Column:
+    values, n, han, numbers = row["values"], row["n"], row["han"], row["numbers"]
+    han_share, unique, lengths = share(han, row["length"]), share(row["different"], n), share(row["length"], n)
     first = F.try_element_at(values, F.lit(1))
-    lengths = share(F.length(joined), n)
     codes = count(values, lambda v: v.rlike(r"^[A-Za-z0-9]+\n?\z") & ~is_number_like(v))
     return (
         F.when(n == 0, F.lit(False))
@@ -71,6 +78,10 @@ def is_data(values: Column) -> Column:
 
 def class_entropy(text: Column) -> Column:
     """Entropy of Chinese, Latin, numeric and other characters, from 0 to 1."""
+    return let(text, entropy_of)
+
+
+def entropy_of(text: Column) -> Column:
     total = F.length(text)
     parts = [han_length(text), F.length(F.regexp_replace(text, "[^A-Za-z]", "")), F.length(F.regexp_replace(text, r"[^\p{N}]", ""))]
     parts.append(total - parts[0] - parts[1] - parts[2])

@@ -15,6 +15,7 @@ from veilframe.functions.identity import encode_mark, mark_payload
 from veilframe.operators import apply, classify, headers, scan
 from veilframe.operators.rules import COLUMNS, PATTERNS, ColumnRule, PatternRule, column_rules_df
 from veilframe.plans.catalogue import mark_places
+from veilframe.plans.work import Work
 from veilframe.sources import audit, pptx, strategy, xlsx
 from veilframe.sources.files import documents, exists, log_name, output_name, write_file
 
@@ -56,24 +57,27 @@ class Scan:
 
 
 def scan_documents(spark: SparkSession, path: str, options: Options) -> Scan:
-    files = documents(spark, path)
-    books = xlsx.read(files.filter("extension = 'xlsx'")).persist()
-    decks = pptx.read(files.filter("extension = 'pptx'")).persist()
+    files, work = documents(spark, path), Work(spark, "scan")
+    books = work.keep(xlsx.read(files.filter("extension = 'xlsx'")), "books")
+    decks = work.keep(pptx.read(files.filter("extension = 'pptx'")), "decks")
     cells, sheets, merges = xlsx.tables(books)
     texts = pptx.texts(decks)
-    typed = classify.with_fallback(sheets, classify.classify(cells, sheets))
+    # Each step is written once: the later plans use it several times.
+    typed = work.keep(classify.with_fallback(sheets, classify.classify(cells, sheets)), "types")
     visible = cells.join(typed.select(*classify.SHEET), classify.SHEET, "left_semi")
     data = typed.filter("sheet_type = 'data'")
-    spans = headers.header_spans(headers.row_scores(headers.row_values(visible.join(data.select(*classify.SHEET), classify.SHEET, "left_semi"), data)))
-    names = headers.unique_names(headers.header_names(visible, spans, data, merges))
-    found = scan.scan_workbook(visible, typed, spans, names, options.columns, options.patterns)
+    scored = headers.row_scores(headers.row_values(visible.join(data.select(*classify.SHEET), classify.SHEET, "left_semi"), data))
+    spans = work.keep(headers.header_spans(work.keep(scored, "scores")), "spans")
+    names = work.keep(headers.unique_names(headers.header_names(visible, spans, data, merges)), "names")
+    found = work.keep(scan.scan_workbook(visible, typed, spans, names, options.columns, options.patterns), "found")
     common = ["file", "site_id", "location", "original_value", "detected_type", "discovered_by", "action", "params", "order"]
     on_sheets = found.withColumn("order", F.array(F.col("sheet_idx").cast("int"), "row", "col", "rule_ord", "start")).select(*common)
-    on_slides = scan.scan_deck(texts, options.columns, options.patterns).withColumn("order", F.array("slide", F.col("part_ord"), "shape_ord", F.coalesce("row", F.col("para_idx")), F.coalesce("col", F.lit(0)), "rule_ord", "start")).select(*common)
+    on_slides = work.keep(scan.scan_deck(texts, options.columns, options.patterns), "found-in-decks").withColumn("order", F.array("slide", F.col("part_ord"), "shape_ord", F.coalesce("row", F.col("para_idx")), F.coalesce("col", F.lit(0)), "rule_ord", "start")).select(*common)
     both = on_sheets.unionByName(on_slides)
     # The order of the scan as one number: a dense rank within the file, made global by the file's own rank.
     ranked = both.sort("file", "order").withColumn("ord", F.monotonically_increasing_id()).withColumn("enabled", F.lit(True)).drop("order")
-    sites = scan.dedup_sites(ranked.withColumn("place", scan.location_text(F.col("location"))), ["file", "place", "original_value"]).drop("place").persist()
+    sites = scan.dedup_sites(ranked.withColumn("place", scan.location_text(F.col("location"))), ["file", "place", "original_value"]).drop("place")
+    sites = work.keep(sites, "sites")
     rules = scan.sheet_rules(names, options.columns)
     errors = books.select("file", "error").unionByName(decks.select("file", "error")).filter("error is not null")
     return Scan(files, visible, typed, spans, names, texts, sites, rules, errors)
@@ -105,9 +109,11 @@ def changes_of(spark: SparkSession, found: Scan, plan: strategy.Strategy | None,
         files = [r["path"] for r in found.files.select("path").collect()]
         sites, rules = strategy.sites_frame(spark, plan, files[0] if files else ""), column_rules_df(spark, tuple(plan.column_rules))
     by_rule = apply.of_column_rules(found.cells, found.names, found.spans, rules)
+    work = Work(spark, "requests")
+    by_rule = work.keep(by_rule, "by-rule")
     written = by_rule.select("file", "sheet", "cell").distinct()
     requests = by_rule.unionByName(apply.of_sites(found.cells, sites, written)).unionByName(apply.of_deck_sites(found.texts, sites))
-    return sites, apply.changes(requests)
+    return sites, apply.changes(work.keep(requests, "requests"))
 
 
 def redact(spark: SparkSession, path: str, folder: str, plan: strategy.Strategy | None = None, options: Options | None = None) -> DataFrame:
@@ -118,7 +124,8 @@ def redact(spark: SparkSession, path: str, folder: str, plan: strategy.Strategy
     options = options or Options()
     found = scan_documents(spark, path, options)
     sites, done = changes_of(spark, found, plan, options)
-    done = done.persist()
+    work = Work(spark, "redact")
+    done = work.keep(done, "changes")
     report = apply.report(sites, done)
     names = found.files.select(F.col("path").alias("file"), "extension", "sha256")
     counts = names.join(report, "file", "left").join(found.errors, "file", "left").na.fill(0, ["processed", "skipped", "errors"])
@@ -129,8 +136,8 @@ def redact(spark: SparkSession, path: str, folder: str, plan: strategy.Strategy
     marks = mark_places(found.cells, found.sheets).select("file", "sheet", scan.coordinate("row", "col").alias("cell"), "text")
     marks = marks.groupBy("file").agg(F.collect_list(F.struct("sheet", "cell", "text")).alias("marks"))
     mark = encode_mark(mark_payload(F.lit(options.operator), F.lit(options.timestamp), F.col("sha256")))
-    work = found.files.withColumnRenamed("path", "file").withColumn("mark", mark).join(edits, "file", "left").join(marks, "file", "left").join(found.errors, "file", "left")
-    out = work.mapInPandas(writer(folder, options.force), "file string, status string, output string, error string").persist()
+    rows = found.files.withColumnRenamed("path", "file").withColumn("mark", mark).join(edits, "file", "left").join(marks, "file", "left").join(found.errors, "file", "left")
+    out = work.keep(rows.mapInPandas(writer(folder, options.force), "file string, status string, output string, error string"), "written")
     logs = audit.audit_rows(names.join(out, "file").select("file", F.col("file").alias("source_path"), F.col("output").alias("output_file"), F.col("sha256").alias("file_hash"), "status").filter("status = 'ok'").drop("status"), done, options.operator, F.lit(options.timestamp))
     logs.mapInPandas(log_writer(folder), "file string").count()
     return counts.drop("error").join(out, "file").select("file", "status", "processed", "skipped", "errors", "output", "error")
