@@ -23,7 +23,7 @@ its input.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from veilframe.llm.shingles import WordHasher, shingle_set
 
 #: A token that at most so many sets hold is of the rare class.
 RARE = 16
-#: Prefixes longer than this use single tokens of the frequent class, not pairs.
-PAIR_PREFIX = 24
+#: Prefixes longer than this use single tokens of the frequent class: so pairs are at most 4.5 times as many keys.
+PAIR_PREFIX = 8
 #: Ids up to which a selection of documents is broadcast (at most 60 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -158,11 +158,11 @@ def index_keys(ordered: DataFrame, measure: Measure, work: Workspace) -> DataFra
     return work.keep(keys, "keys")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, measure: Measure, work: Workspace, label: str) -> DataFrame:
-    """(a, b) with their overlap and whether they link."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+def verify(pairs: DataFrame, sets: DataFrame, measure: Measure, work: Workspace, label: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(a, b) with their overlap and whether they link. sets: node, n and body, from which tokens() gives the set."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("body").alias(f"body_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    overlap = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
+    overlap = F.size(F.array_intersect(tokens(F.col("body_a")), tokens(F.col("body_b")))).cast("long")
     out = both.select("a", "b", "n_a", "n_b", overlap.alias("overlap"))
     return work.keep(out.select("a", "b", "overlap", measure.links(F.col("overlap"), F.col("n_a"), F.col("n_b")).alias("linked")), label)
 
@@ -174,8 +174,12 @@ def possible(measure: Measure, x: str, y: str) -> Column:
     return (F.least(f"{x}.useful", f"{y}.useful") * scale >= need) & (F.least(f"{x}.n", f"{y}.n") * scale >= need)
 
 
-def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Workspace) -> DataFrame:
-    """(node, root) of every class that links with another of a list. keys: key, node, n, copies, useful."""
+def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Workspace, tokens: Callable[[Column], Column] = lambda body: body, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of every class that links with another of a list.
+
+    keys: key, node, n, copies, useful (the tokens of a set that others of its lists may hold; n is always right).
+    sets: node, n, body. refine gives (node, bound) of nodes: a smaller useful among these nodes, where it is worth it.
+    """
     best = F.max(F.struct((F.col("useful") / F.col("n")).alias("share"), "copies", "n", "useful", "node"))
     lists = keys.groupBy("key").agg(F.count("*").alias("members"), best.alias("pivot")).filter("members > 1")
     lists = work.keep(lists.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.useful").alias("pivot_useful")), "lists")
@@ -184,7 +188,7 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     need = (F.col("n") + F.col("pivot_n")) * measure.percent
     fits = (F.least("useful", "pivot_useful", "n", "pivot_n") * scale >= need) & (F.col("node") != F.col("pivot"))
     spokes = member.filter(fits).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    first = verify(spokes, sets, measure, work, "spokes")
+    first = verify(work.keep(spokes, "spoke-pairs"), sets, measure, work, "spokes", tokens)
     roots = components(first.filter("linked").select("a", "b"), work, "roots")
     roots = work.keep(roots, "first-roots")
 
@@ -200,6 +204,10 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     mixed = row.groupBy("key").agg(F.count_if("outside").alias("strays"), F.min("n").alias("least_n")).filter("strays > 0").select("key", "least_n")
     # A stray links with nothing of its list if even the smallest member is too large for its bound.
     row = work.keep(row.join(mixed, "key").filter((F.col("node") != F.col("pivot")) & (F.col("useful") * scale >= (F.col("n") + F.col("least_n")) * measure.percent)), "mixed")
+    if refine is not None:
+        bounds = work.keep(refine(row.select("node").distinct()), "bounds")
+        row = row.join(bounds, "node").withColumn("useful", F.least("useful", "bound")).drop("bound")
+        row = work.keep(row.filter(F.col("useful") * scale >= (F.col("n") + F.col("least_n")) * measure.percent), "refined")
     seen = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "overlap")
     row = work.keep(row.join(seen, ["node", "pivot"], "left"), "bounded")
     x, y = row.filter("outside").alias("x"), row.alias("y")
@@ -211,7 +219,7 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & possible(measure, "x", "y") & bound)
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = work.keep(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    second = verify(pairs, sets, measure, work, "checked")
+    second = verify(pairs, sets, measure, work, "checked", tokens)
     if second.filter("linked").isEmpty():
         return roots
     return components(first.filter("linked").select("a", "b").unionByName(second.filter("linked").select("a", "b")), work, "final")
@@ -234,7 +242,8 @@ def join(docs: DataFrame, words: int, percent: int, work: Workspace) -> DataFram
     sets = full_sets(docs, chosen, words, work)
     ordered = ordered_sets(sets, measure, work)
     work.release()
-    roots = work.keep(linked_classes(index_keys(ordered, measure, work), sets, measure, work), "linked")
+    bodies = sets.select("node", "n", F.col("tokens").alias("body"))
+    roots = work.keep(linked_classes(index_keys(ordered, measure, work), bodies, measure, work), "linked")
     # A component's name is the smallest id of its documents.
     groups = roots.join(narrow.select("node", "keep_id"), "node").groupBy("root").agg(F.min("keep_id").alias("component_id"))
     named = roots.join(groups, "root").select("node", "component_id", F.lit(True).alias("is_linked"))

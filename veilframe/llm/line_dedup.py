@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, with built-in functions alone.
 
 Lines (trimmed, in lower case) that are equal are one class. A class's set are the hashes of its line's windows of
-``WIDTH`` characters. Its signature has, for each of ``BANDS * ROWS`` fixed numbers, the smallest of the set's hashes
+``WIDTH`` characters; ``k1`` and ``k2`` are two 64-bit hashes that stand for a line. Its signature has, for each of ``BANDS * ROWS`` fixed numbers, the smallest of the set's hashes
 xor that number: as hashes are random, two sets agree there with the probability of their Jaccard similarity, whatever
 the number. Classes that agree in all rows of a band are candidates: at similarity 0.8, 99.7 of 100 pairs. The sets of
 candidates are compared exactly, list by list, as in ``jaccard_join``: against the list's pivot, then whatever isn't in
@@ -20,34 +20,39 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.jaccard_join import Measure, linked_classes, ordered_sets
+from veilframe.llm.jaccard_join import Measure, linked_classes
 from veilframe.llm.shared import Workspace, join_heavy_apart, partitions, text_of
 
 WIDTH, PERCENT = 9, 80
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 7, 3
 #: Spread evenly over 64 bits, so that they meet different hashes also of small sets.
 NUMBERS = [((i << 64) // (BANDS * ROWS) + random.Random(20 + i).getrandbits(58)) - (1 << 63) for i in range(BANDS * ROWS)]
 
 
-def windows(line: Column, width: int = WIDTH) -> Column:
-    """All windows of width characters, from left to right."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+#: Where the windows of signatures begin: a space, an ASCII character with an even code, or any other than ASCII.
+SIGNED = r" \x22$&(*,.02468:<>@\\\^`bdfhjlnprtvxz|~\x80-\x{10FFFF}"
+
+
+def windows(line: Column, first: str = "") -> Column:
+    """All windows of WIDTH characters, from left to right; those alone that begin with one of first, if given."""
+    one = f"[{first}].{{{WIDTH - 1}}}" if first else f".{{{WIDTH}}}"
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=({one}))"), F.lit(1))
+
+
+def tokens(line: Column) -> Column:
+    """A line's set: the hashes of its windows."""
+    return F.array_distinct(F.transform(windows(line), lambda w: F.xxhash64(w)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line (as compared) of every line."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "raw"))
-    return lines.select("doc_id", "line_no", F.lower(F.trim(F.translate("raw", "\r\t", "  "))).alias("line"))
-
-
-def keyed(lines: DataFrame) -> DataFrame:
-    """Lines that aren't blank, with two hashes that stand for the line."""
-    return lines.filter(F.length("line") > 0).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
+    return lines.select("doc_id", "line_no", F.lower(F.btrim("raw", F.lit(" \t\r"))).alias("line"))
 
 
 def band_keys(classes: DataFrame, work: Workspace) -> DataFrame:
     """(key, k1, node) of every class whose line has at least a window, for lists of two and more."""
-    hashed = classes.filter(F.length("line") >= WIDTH).select("k1", "node", F.explode(windows(F.col("line"))).alias("w")).select("k1", "node", F.xxhash64("w").alias("h"))
+    hashed = classes.filter(F.length("line") >= WIDTH).select("k1", "node", F.explode(windows(F.col("line"), SIGNED)).alias("w")).select("k1", "node", F.xxhash64("w").alias("h"))
     signed = hashed.groupBy("k1", "node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(NUMBERS)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     keys = work.keep(signed.select("k1", "node", F.explode(bands).alias("key")), "bands")
@@ -58,24 +63,35 @@ def band_keys(classes: DataFrame, work: Workspace) -> DataFrame:
 def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, group_size, kept of every line."""
     spark = docs.sparkSession
-    lines = lines_of(docs)
-    rows = work.keep(keyed(lines).select("doc_id", "line_no", "k1", "k2"), "rows")
-    blank = work.keep(lines.filter(F.length("line") == 0).select("doc_id", "line_no"), "blank")
+    lines = work.keep(lines_of(docs).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line")), "lines")
+    rows = work.keep(lines.filter("line <> ''").select("doc_id", "line_no", "k1", "k2"), "rows")
+    blank = work.keep(lines.filter("line = ''").select("doc_id", "line_no"), "blank")
     place = F.struct(F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
-    distinct = keyed(lines).groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("line").alias("line"))
+    distinct = lines.filter("line <> ''").groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("line").alias("line"))
     # Bucketed by k1, so that a class's windows are gathered without a shuffle.
     name, buckets = f"lines_{work.root.rsplit('-', 1)[1]}", partitions(spark)
     numbered = distinct.withColumn("node", F.monotonically_increasing_id())
     numbered.write.format("parquet").option("compression", "zstd").option("path", work.path("classes")).bucketBy(buckets, "k1").saveAsTable(name)
+    del distinct, numbered, lines
+    work.drop("lines")
+    work.release()
     classes = spark.table(name)
     keys = band_keys(classes.select("k1", "node", "line"), work)
     chosen = work.keep(keys.select("k1", "node").distinct(), "chosen")
-    tokens = F.array_distinct(F.transform(windows(F.col("line")), lambda w: F.xxhash64(w)))
-    sets = classes.select("k1", "node", "copies", "line").join(chosen, ["k1", "node"], "left_semi").select("node", "copies", tokens.alias("tokens"))
-    sets = work.keep(sets.withColumn("n", F.size("tokens").cast("long")), "sets")
-    measure = Measure(PERCENT)
-    ordered = ordered_sets(sets, measure, work).select("node", "n", "copies", "useful")
-    roots = work.keep(linked_classes(work.keep(keys.select("key", "node").join(ordered, "node"), "keys"), sets, measure, work), "linked")
+    sets = classes.select("k1", "node", "copies", "line").join(chosen, ["k1", "node"], "left_semi").select("node", "copies", F.size(tokens(F.col("line"))).cast("long").alias("n"), F.col("line").alias("body"))
+    sets = work.keep(sets, "sets")
+    keys = work.keep(keys.select("key", "node").join(sets.select("node", "n", "copies", F.col("n").alias("useful")), "node"), "keys")
+    for done in ("bands", "band-lists", "band-keys"):
+        work.drop(done)
+    work.release()
+
+    def refine(nodes: DataFrame) -> DataFrame:
+        """Tokens that another of these nodes holds too."""
+        own = sets.join(nodes, "node", "left_semi").select("node", F.explode(tokens(F.col("body"))).alias("token"))
+        common = work.keep(own.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token"), "common")
+        return own.join(common, "token").groupBy("node").agg(F.count("*").alias("bound"))
+
+    roots = work.keep(linked_classes(keys, sets, Measure(PERCENT), work, tokens, refine), "linked")
     nodes = classes.select("k1", "k2", "node", "place", "copies")
     groups = roots.join(nodes, "node").groupBy("root").agg(F.min("place").alias("keep"), F.sum("copies").alias("group_size"))
     named = roots.join(groups, "root").select("node", "keep", "group_size")
