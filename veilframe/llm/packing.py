@@ -17,7 +17,7 @@ import re
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,9 +30,9 @@ from veilframe.llm.shared import Workspace
 LENGTH = 2048
 SHARD_ITEMS = 32_000
 #: Entries that a worker keeps of what chunks between white space encode to (about 200 bytes each).
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 200_000
 #: Characters of texts that are handled at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: What isn't certain to be tokenized alike in parts that are cut at white space, and in lower case.
 UNSURE = re.compile(r"[^\t-\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
 #: A comma or full stop that is part of a longer run of marks, so of one token with it.
@@ -59,7 +59,7 @@ class ChunkEncoder:
             kept.__dict__[path] = cls(path)
         return kept.__dict__[path]
 
-    def many(self, texts: list[str]) -> Iterator[bytes]:
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text."""
         held: list[str] = []
         size = 0
@@ -104,8 +104,10 @@ class ChunkEncoder:
         known = self.known
         missing = [c for c in chunks if c not in known]
         if len(known) + len(missing) > CACHE_ENTRIES:
+            # What this block uses stays: all frequent chunks are among it.
+            used = {c: known[c] for c in chunks if c in known}
             known.clear()
-            missing = list(chunks)
+            known.update(used)
         words = [c for c in missing if c.isalpha()]
         # A chunk of letters is one word, whose last id is one that ends a word: so they can be encoded as one text.
         ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -132,7 +134,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, separator: in
         encoder, end = ChunkEncoder.of_worker(vocabulary), int(separator).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, found in zip(batch["doc_id"].to_pylist(), encoder.many([x.as_py() or "" for x in batch["text"]]), strict=True):
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), encoder.many(x.as_py() or "" for x in batch["text"]), strict=True):
                 ids, step = found + end, 4 * length
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
