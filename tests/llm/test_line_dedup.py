@@ -69,3 +69,16 @@ def test_odd_rows_and_texts(spark):
     texts = {r.doc_id: r.text for r in line_dedup.kept_texts(df, Workspace(spark, "t")).collect()}
     assert texts == {3: "ab\n", 4: ""}
     assert line_dedup.dedup(df.limit(0), Workspace(spark, "t")).count() == 0
+
+
+def test_every_window_is_signed(spark):
+    rng = random.Random(6)
+    pairs = [("=" * 12, "=" * 20), ("-" * 9, "-" * 40), ("_" * 12, "_" * 13), ("#" * 10, "#" * 30), ("message 123456", "message 1234567")]
+    for n in (12, 13, 14):
+        for _ in range(100):
+            line = "".join(rng.choice("acegikmoqsuwy13579bdfh") for _ in range(n))
+            pairs.append((line, line + "c"))
+    df = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_line_no, r.group_size, r.kept) for r in line_dedup.dedup(df, Workspace(spark, "t")).collect() if r.line_no == 1}
+    assert {i: got[i] for i in range(5)} == {i: (0, 2, False) for i in range(5)}
+    assert sum(g == (0, 2, False) for g in got.values()) >= 0.99 * len(pairs)

@@ -24,19 +24,14 @@ from veilframe.llm.jaccard_join import Measure, linked_classes
 from veilframe.llm.shared import Workspace, join_heavy_apart, partitions, text_of
 
 WIDTH, PERCENT = 9, 80
-BANDS, ROWS = 7, 3
+BANDS, ROWS = 8, 3
 #: Spread evenly over 64 bits, so that they meet different hashes also of small sets.
 NUMBERS = [((i << 64) // (BANDS * ROWS) + random.Random(20 + i).getrandbits(58)) - (1 << 63) for i in range(BANDS * ROWS)]
 
 
-#: Where the windows of signatures begin: a space, an ASCII character with an even code, or any other than ASCII.
-SIGNED = r" \x22$&(*,.02468:<>@\\\^`bdfhjlnprtvxz|~\x80-\x{10FFFF}"
-
-
-def windows(line: Column, first: str = "") -> Column:
-    """All windows of WIDTH characters, from left to right; those alone that begin with one of first, if given."""
-    one = f"[{first}].{{{WIDTH - 1}}}" if first else f".{{{WIDTH}}}"
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=({one}))"), F.lit(1))
+def windows(line: Column) -> Column:
+    """All windows of WIDTH characters, from left to right."""
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
 
 
 def tokens(line: Column) -> Column:
@@ -52,7 +47,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def band_keys(classes: DataFrame, work: Workspace) -> DataFrame:
     """(key, k1, node) of every class whose line has at least a window, for lists of two and more."""
-    hashed = classes.filter(F.length("line") >= WIDTH).select("k1", "node", F.explode(windows(F.col("line"), SIGNED)).alias("w")).select("k1", "node", F.xxhash64("w").alias("h"))
+    hashed = classes.filter(F.length("line") >= WIDTH).select("k1", "node", F.explode(windows(F.col("line"))).alias("w")).select("k1", "node", F.xxhash64("w").alias("h"))
     signed = hashed.groupBy("k1", "node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(NUMBERS)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     keys = work.keep(signed.select("k1", "node", F.explode(bands).alias("key")), "bands")
