@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from veilframe.llm import line_dedup
 from veilframe.llm.shared import Workspace
 
@@ -82,3 +84,15 @@ def test_every_window_is_signed(spark):
     got = {r.doc_id: (r.keep_line_no, r.group_size, r.kept) for r in line_dedup.dedup(df, Workspace(spark, "t")).collect() if r.line_no == 1}
     assert {i: got[i] for i in range(5)} == {i: (0, 2, False) for i in range(5)}
     assert sum(g == (0, 2, False) for g in got.values()) >= 0.99 * len(pairs)
+
+
+def test_chain_past_the_pivot(spark, monkeypatch):
+    """The pivot p (most copies) links with y, y with x, and p with x does not: x is still compared with y."""
+    monkeypatch.setattr(line_dedup, "band_keys", lambda classes, work: classes.select(F.lit(1).cast("long").alias("key"), "k1", "node"))
+    rng = random.Random(8)
+    y = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(108))
+    p, x = y[:30] + "0" + y[31:], y[:70] + "0" + y[71:]
+    assert [len(windows(a) & windows(b)) for a, b in ((x, y), (p, y), (p, x))] == [91, 91, 82]
+    df = spark.createDataFrame([(0, x), (1, y), (2, p), (3, p), (4, p)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_doc_id, r.group_size, r.kept) for r in line_dedup.dedup(df, Workspace(spark, "t")).collect()}
+    assert got == {i: (0, 5, i == 0) for i in range(5)}

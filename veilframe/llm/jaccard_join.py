@@ -204,7 +204,10 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     mixed = row.groupBy("key").agg(F.count_if("outside").alias("strays"), F.min("n").alias("least_n")).filter("strays > 0").select("key", "least_n")
     # A stray links with nothing of its list if even the smallest member is too large for its bound.
     row = work.keep(row.join(mixed, "key").filter((F.col("node") != F.col("pivot")) & (F.col("useful") * scale >= (F.col("n") + F.col("least_n")) * measure.percent)), "mixed")
+    whole = "useful"
     if refine is not None:
+        # Pivots aren't among these nodes, so what a set shares with one alone is in whole, not in the refined useful.
+        whole, row = "whole", row.withColumn("whole", F.col("useful"))
         bounds = work.keep(refine(row.select("node").distinct()), "bounds")
         row = row.join(bounds, "node").withColumn("useful", F.least("useful", "bound")).drop("bound")
         row = work.keep(row.filter(F.col("useful") * scale >= (F.col("n") + F.col("least_n")) * measure.percent), "refined")
@@ -213,7 +216,7 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     x, y = row.filter("outside").alias("x"), row.alias("y")
     both_known = F.col("x.overlap").isNotNull() & F.col("y.overlap").isNotNull()
     within = F.least("x.overlap", "y.overlap")
-    beyond = F.least(F.col("x.useful") - F.col("x.overlap"), F.col("y.useful") - F.col("y.overlap"))
+    beyond = F.least(F.col(f"x.{whole}") - F.col("x.overlap"), F.col(f"y.{whole}") - F.col("y.overlap"))
     bound = ~both_known | ((within + beyond) * scale >= measure.pair_overlap(F.col("x.n"), F.col("y.n")))
     once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & possible(measure, "x", "y") & bound)
