@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilframe.operators import classify, detect, headers, rules, scan
+from veilframe.plans import catalogue
 
 
 def scanned(spark, texts, **more):
@@ -127,3 +128,11 @@ def test_forms(spark):
     assert ("B2", "amount", "fulltext_scan") in got
     own = (rules.ColumnRule("exact", "公司名称", "alias", {}, "entity"),)
     assert ("A2", "entity", "column_rule") in {(r.location.cell, r.detected_type, r.discovered_by) for r in scan.scan_form(simple, own).collect()}
+
+
+def test_sites_are_ordered_beyond_the_first_100_000_characters(spark, monkeypatch):
+    hits = spark.createDataFrame([(3, 2, 250_000, "c", "account"), (3, 2, 150_000, "a", "account"), (3, 2, 200_000, "b", "account"), (3, 1, 900_000, "z", "amount"), (4, 0, 5, "d", "amount")], "doc_id long, ord int, start int, value string, detected_type string")
+    monkeypatch.setattr(catalogue.detect, "scan_table", lambda *_: hits)
+    sites = catalogue.document_sites(hits).orderBy("ord").collect()
+    assert len({s.ord for s in sites}) == len(sites)
+    assert [s.original_value for s in sites] == ["z", "a", "b", "c", "d"]

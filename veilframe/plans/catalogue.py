@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilframe.functions import amount, identity
 from veilframe.operators import alias, apply, classify, detect, dispatch, headers, rules, scan
@@ -379,7 +380,9 @@ def _(df):
 def document_sites(df: DataFrame) -> DataFrame:
     hits = detect.scan_table(df, ["doc_id"], ["text"])
     choice = rules.default_action(F.col("detected_type"))
-    ord_ = F.col("doc_id") * 1_000_000 + F.col("ord") * 100_000 + F.least(F.col("start"), F.lit(99_999))
+    # By rule, then place, however long the text: fewer than 2^29 finds fit into one.
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "start", "value"))
+    ord_ = F.shiftleft(F.col("doc_id").cast("bigint"), 29) + nth
     place = scan.excel_place(F.lit("docs"), F.concat(F.lit("A"), (F.col("doc_id") + 1).cast("string")))
     return hits.select(F.lit("book").alias("file"), "doc_id", ord_.alias("ord"), F.concat(F.lit("sheet_docs_A"), (F.col("doc_id") + 1).cast("string")).alias("site_id"), place.alias("location"), F.col("value").alias("original_value"), "detected_type", F.lit("fulltext_scan").alias("discovered_by"), F.lit(True).alias("enabled"), choice["action"].alias("action"), choice["params"].alias("params"))
 
