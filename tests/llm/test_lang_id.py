@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from veilframe.llm import lang_id
@@ -52,3 +54,12 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in got if r.doc_id in (None, 5)} <= {"en", "fr"}
     assert {r.lang_pred for r in lang_id.predict(docs, None).collect()} == {"und"}
     assert lang_id.training_rows(docs.limit(0)) == ([], [])
+
+
+def test_a_rare_language_is_sampled(spark):
+    rows = [(i, f"text {i}", "rare" if i % 500 == 7 else "fr" if i % 2 else "en") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = lang_id.training_rows(docs, 300)
+    want = {t for i, t, x in rows if x == "rare" and zlib.crc32(str(i).encode()) % 5}
+    assert {t for t, x in zip(texts, langs, strict=True) if x == "rare"} == want and len(want) >= lang_id.LEAST_ROWS
+    assert langs.count("en") == langs.count("fr") == 100

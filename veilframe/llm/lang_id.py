@@ -4,8 +4,9 @@ Each direction reads a window of bytes and keeps a hidden state; both states at
 document's probabilities are the mean of its bytes' over all windows. The network is trained here with numpy by
 backpropagation through time (``train``). Gates are piecewise linear, the candidate state is a hyperbolic tangent.
 
-Training reads a bounded sample: the ``FIT_ROWS`` documents with the smallest hash of their id among those that aren't
-held out and have a language; a language that has fewer than ``LEAST_ROWS`` of them isn't learned if others have more.
+Training reads a bounded sample of each language: ``FIT_ROWS`` by the number of languages, at least ``LANG_ROWS``, of the
+documents with the smallest hash of their id among those that aren't held out and have that language; a language that has
+fewer than ``LEAST_ROWS`` in all isn't learned if others have more.
 Every text is labelled whole, in windows of ``WINDOW`` bytes.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; without any training row every text is
@@ -23,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilframe.llm.shared import held_out
 
-FIT_ROWS, LEAST_ROWS = 4000, 5
+FIT_ROWS, LANG_ROWS, LEAST_ROWS = 4000, 50, 5
 HIDDEN, WINDOW, WINDOWS = 12, 128, 2048
 STEPS, BATCH, TRAIN_WINDOW, STEP_SIZE = 400, 128, 48, 0.02
 UNKNOWN = "und"
@@ -200,15 +202,28 @@ def training_rows(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], lis
     """Texts and languages of the bounded sample."""
     used = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     used = used.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~held_out())
-    order = (F.xxhash64("doc_id", F.lit("lang")), "doc_id")
-    # First the ids alone, so that texts aren't sorted; at most rows of them, so the broadcast is bounded.
-    ids = used.select("doc_id").orderBy(*order).limit(rows)
-    got = used.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").orderBy(*order, F.xxhash64("text", "lang")).limit(rows).collect()
-    counts: dict[str, int] = {}
-    for r in got:
-        counts[r["lang"]] = counts.get(r["lang"], 0) + 1
+    counts = {r["lang"]: r["count"] for r in used.groupBy("lang").count().collect()}
     least = min(LEAST_ROWS, max(counts.values(), default=0))
-    got = [r for r in got if counts[r["lang"]] >= least]
+    counts = {lang: n for lang, n in counts.items() if n >= least}
+    if not counts:
+        return [], []
+    each = max(LANG_ROWS, rows // len(counts))
+    # The smallest hashes: about twice as many rows as are wanted pass cut, so that a large language isn't sorted whole.
+    cuts = [(lang, int(min(1.0, (2 * each + 100) / n) * (2**64 - 2**12)) - 2**63) for lang, n in counts.items()]
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    of_id = F.xxhash64("doc_id", F.lit("lang"))
+    whole = F.col("cut") >= 2**63 - 2**13
+    near = used.join(cuts, "lang").filter(whole | (of_id <= F.col("cut"))).drop("cut")
+    order = (of_id, "doc_id")
+
+    def first(found: DataFrame, *by) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(*by))
+        return found.withColumn("nth", nth).filter(F.col("nth") <= each).drop("nth")
+
+    # First the ids alone, so that texts aren't sorted; at most each of a language, so the broadcast is bounded.
+    ids = first(near.select("lang", "doc_id"), *order)
+    got = used.join(F.broadcast(ids.distinct()), ["lang", "doc_id"], "left_semi")
+    got = first(got, *order, F.xxhash64("text", "lang")).orderBy(*order, F.xxhash64("text", "lang")).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
