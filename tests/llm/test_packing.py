@@ -38,7 +38,7 @@ def check(rows, got, length):
 
 
 def test_cases(spark):
-    texts = [None, "", "a", "It's the words' ends; 12 x 3.5é Été", "中文 mix́ed   space\x1funit", "word " * 900, "x" * 5000, "<|endoftext|> a<|endoftext|>b", "İstanbul ß ²"]
+    texts = [None, "", "a", "It's the words' ends; 12 x 3.5é Été", "中文 mix́ed   space\x1funit", "word " * 900, "x" * 5000, "<|endoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "<|EndOfText|>", "İstanbul ß ²"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "null id"), (2, "a"), (2, "a")]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, sequence_id string, offset int")
     check(rows, packing.pack(docs, VOCABULARY, length=64).collect(), 64)
@@ -83,9 +83,30 @@ def test_rule(lengths):
 
 
 @pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
-def test_blocks(block, monkeypatch):
+@pytest.mark.parametrize("entries", [1, 400_000])
+def test_blocks(block, entries, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", block)
+    monkeypatch.setattr(packing, "ENTRIES", entries)
     texts = ["One two, three's  four\n\nfive-six 78 nine. " * 5, "", "a., b. c_. d_, 5, 6. (x). y", "Été, ça. ²³ ª,º µ. x", "中, 文. x", "it's, we'll. I'd 'tis", "end.\nnext,\n"]
     tokenizer = Tokenizer.from_file(VOCABULARY)
     want = [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert list(packing.ChunkEncoder(VOCABULARY).many(texts)) == want
+    assert list(packing.WordEncoder(VOCABULARY).many(texts)) == want
+
+
+TOKENIZER, ENCODER = Tokenizer.from_file(VOCABULARY), packing.WordEncoder(VOCABULARY)
+LETTERS = "ab eZÉ .,'!?0123²½ªº_-\t\nß·×ǅĲſ" + "".join(chr(i) for i in range(0xA1, 0x250)) + "’…漢é́ \x1c\x85"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(LETTERS), max_size=90), max_size=8))
+def test_texts(texts):
+    want = [np.asarray(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(ENCODER.many(texts)) == want
+
+
+def test_another_vocabulary():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, texts = Tokenizer.from_file(path), ["Hello World", "a  b", "", "It's 12\n\nÉté " * 30]
+    want = [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = packing.WordEncoder(path)
+    assert not encoder.by_words and list(encoder.many(texts)) == want

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components
-from veilframe.llm.shared import Workspace, join_heavy_apart
+from veilframe.llm.shared import Workspace, give_back, join_heavy_apart
 from veilframe.llm.shingles import WordHasher, shingle_set
 
 #: A token that at most so many sets hold is of the rare class.
@@ -96,6 +96,8 @@ def sets_of(docs: DataFrame, words: int, measure: Measure | None) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(needs, pa.int64()), lists], names=["doc_id", "n", "digest", "need", "tokens"])
+        del hasher
+        give_back()
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return wanted.mapInArrow(rows, schema)

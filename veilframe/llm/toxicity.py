@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import held_out
+from veilframe.llm.shared import give_back, held_out
 
 #: Labelled rows of each class that the model is fitted on, at most.
 FIT_ROWS = 3000
@@ -43,7 +43,6 @@ OBFUSCATED = re.compile(r"[A-Za-z][0-9@$!*+#|][A-Za-z*]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 LEET = str.maketrans("013457@$!|", "oieastasii")
 TREES, DEPTH, BINS, RATE, L2 = 60, 3, 32, 0.2, 1.0
-SLICE = 1 << 20
 
 
 class Lexicon(NamedTuple):
@@ -268,6 +267,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if batch.num_rows:
                 got = np.concatenate([scores([x.as_py() or "" for x in batch["text"][k : k + 256]]) for k in range(0, batch.num_rows, 256)])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(got, pa.float64())], names=["doc_id", "score"])
+        give_back()
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return wanted.mapInArrow(rate, "doc_id long, score double")
@@ -289,5 +289,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if batch.num_rows:
                 got = np.concatenate([scores([x.as_py() or "" for x in batch.column(place)[k : k + 256]]) for k in range(0, batch.num_rows, 256)])
                 yield batch.filter(pa.array(got < 0.5))
+        give_back()
 
     return docs.mapInArrow(clean, docs.schema)
