@@ -184,7 +184,7 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     """
     best = F.max(F.struct((F.col("useful") / F.col("n")).alias("share"), "copies", "n", "useful", "node"))
     lists = keys.groupBy("key").agg(F.count("*").alias("members"), best.alias("pivot")).filter("members > 1")
-    lists = work.keep(lists.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.useful").alias("pivot_useful")), "lists")
+    lists = work.keep(lists.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.useful").alias("pivot_useful"), "members"), "lists")
     member = work.keep(keys.join(lists, "key"), "members")
     scale = 100 + measure.percent
     need = (F.col("n") + F.col("pivot_n")) * measure.percent
@@ -198,7 +198,8 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     known = first.select("a", "b", "overlap")
     known = work.keep(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap")), "overlaps")
     of = roots.select(F.col("node").alias("other"), "root")
-    row = member.select("key", "node", "n", "useful", "pivot")
+    # A list of two is its pivot and one other, so it has no further pair.
+    row = member.filter("members > 2").select("key", "node", "n", "useful", "pivot")
     row = row.join(of, F.col("node") == F.col("other"), "left").withColumn("root", F.coalesce("root", "node")).drop("other")
     pivots = of.select(F.col("other").alias("p"), F.col("root").alias("pivot_root"))
     row = row.join(pivots, F.col("pivot") == F.col("p"), "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot")).drop("p")

@@ -1,16 +1,21 @@
 """Fuzzy line deduplication by MinHash, with built-in functions alone.
 
-Lines (trimmed, in lower case) that are equal are one class. A class's set are the hashes of its line's windows of
-``WIDTH`` characters; ``k1`` and ``k2`` are two 64-bit hashes that stand for a line. Its signature has, for each of ``BANDS * ROWS`` fixed numbers, the smallest of the set's hashes
-xor that number: as hashes are random, two sets agree there with the probability of their Jaccard similarity, whatever
-the number. Classes that agree in all rows of a band are candidates: at similarity 0.8, 99.7 of 100 pairs. The sets of
+Lines (trimmed, in lower case) that are equal are one class; ``k1`` and ``k2`` are two 64-bit hashes that stand for a
+line. A class's set are its line's windows of ``WIDTH`` characters, all of them. Its signature has, for each of
+``MINIMA`` fixed numbers, the smallest of the windows' hashes xor that number: as hashes are random, two sets agree there
+with the probability of their Jaccard similarity, whatever the number. A band is three of the minima; no two bands have
+two minima in common. Classes that agree in a band are candidates: at similarity 0.8, 99.8 of 100 pairs. The sets of
 candidates are compared exactly, list by list, as in ``jaccard_join``: against the list's pivot, then whatever isn't in
 its component, so that no group of near copies is paired with itself. Distributed union-find gives the components; of
 each, the line at the smallest (doc_id, line number) stays.
 
+Texts are read where they are: windows are hashed and reduced to minima before anything is shuffled, and only lines
+that are candidates are fetched once more.
+
 Defined cases: null text counts as empty; blank lines are compared with nothing and stay; lines shorter than a window
-match equal lines only; a null id comes before all others; equal places (a repeated row) are one place; an empty table
-gives no rows. Only doc_id and text are read, so other columns' names can't clash.
+match equal lines only; lines of any length are signed whole; a null id comes before all others; equal places (a
+repeated row) are one place; an empty table gives no rows. Only doc_id and text are read, so other columns' names can't
+clash.
 """
 
 from __future__ import annotations
@@ -21,12 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.jaccard_join import Measure, linked_classes
-from veilframe.llm.shared import Workspace, join_heavy_apart, partitions, text_of
+from veilframe.llm.shared import Workspace, join_heavy_apart, text_of
 
 WIDTH, PERCENT = 9, 80
-BANDS, ROWS = 8, 3
+MINIMA = 12
+#: The triples {i, i + 1, i + 4} and {i, i + 2, i + 7} modulo 13, of which any two share one number, without those of 12.
+BANDS = [b for i in range(MINIMA + 1) for b in (sorted((i + s) % (MINIMA + 1) for s in t) for t in ((0, 1, 4), (0, 2, 7))) if MINIMA not in b]
 #: Spread evenly over 64 bits, so that they meet different hashes also of small sets.
-NUMBERS = [((i << 64) // (BANDS * ROWS) + random.Random(20 + i).getrandbits(58)) - (1 << 63) for i in range(BANDS * ROWS)]
+NUMBERS = [((i << 64) // MINIMA + random.Random(20 + i).getrandbits(58)) - (1 << 63) for i in range(MINIMA)]
+#: Lines up to which a selection of them is broadcast (at most 80 bytes each); beyond, it is joined by shuffle.
+BROADCAST_LINES = 500_000
 
 
 def windows(line: Column) -> Column:
@@ -34,69 +43,84 @@ def windows(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
 
 
-def tokens(line: Column) -> Column:
-    """A line's set: the hashes of its windows."""
-    return F.array_distinct(F.transform(windows(line), lambda w: F.xxhash64(w)))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line (as compared) of every line."""
+    """doc_id, line_no, line (as compared), k1, k2 of every line."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "raw"))
-    return lines.select("doc_id", "line_no", F.lower(F.btrim("raw", F.lit(" \t\r"))).alias("line"))
+    lines = lines.select("doc_id", "line_no", F.lower(F.btrim("raw", F.lit(" \t\r"))).alias("line"))
+    return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """k1, k2 and the minima of every line that has at least a window."""
+    wide = 4 * WIDTH  # characters of four bytes each, so that a window is found by its place
+    coded = lines_of(docs).filter(F.length("line") >= WIDTH).select("k1", "k2", F.encode("line", "UTF-32").alias("code"))
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("code") - (wide - 1), F.lit(4))).alias("at")
+    hashed = coded.select("k1", "k2", "code", at).select("k1", "k2", F.xxhash64(F.substring(F.col("code"), F.col("at"), F.lit(wide))).alias("h"))
+    return hashed.groupBy("k1", "k2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(NUMBERS)])
 
 
 def band_keys(classes: DataFrame, work: Workspace) -> DataFrame:
-    """(key, k1, node) of every class whose line has at least a window, for lists of two and more."""
-    hashed = classes.filter(F.length("line") >= WIDTH).select("k1", "node", F.explode(windows(F.col("line"))).alias("w")).select("k1", "node", F.xxhash64("w").alias("h"))
-    signed = hashed.groupBy("k1", "node").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(NUMBERS)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    keys = work.keep(signed.select("k1", "node", F.explode(bands).alias("key")), "bands")
-    lists = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    return work.keep(keys.join(work.keep(lists, "band-lists"), "key"), "band-keys")
+    """(key, node) of the classes that aren't alone under a key."""
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in band]) for b, band in enumerate(BANDS)])
+    keys = classes.filter("m0 is not null").select("node", F.explode(bands).alias("key"))
+    lists = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("members > 1")
+    lists = work.keep(lists, "band-lists")
+    two = lists.filter("members = 2").select("key", F.explode(F.array("a", "b")).alias("node"))
+    more = keys.join(lists.filter("members > 2").select("key"), "key", "left_semi")
+    return work.keep(two.unionByName(more), "band-keys")
+
+
+def bodies(docs: DataFrame, chosen: DataFrame, work: Workspace) -> DataFrame:
+    """node, n, copies, body (its line) of the chosen classes."""
+    total = chosen.count()
+    own = chosen.select("k1", "k2", F.col("place.doc_id").alias("at_doc"), F.col("place.line_no").alias("at_line"), "node", "copies")
+    own = F.broadcast(own) if total <= BROADCAST_LINES else own
+    lines = lines_of(docs).filter(F.length("line") >= WIDTH)
+    same = (lines["k1"] == own["k1"]) & (lines["k2"] == own["k2"]) & (lines["line_no"] == own["at_line"]) & lines["doc_id"].eqNullSafe(own["at_doc"])
+    found = lines.join(own, same).select("node", "copies", F.size(F.array_distinct(windows(F.col("line")))).cast("long").alias("n"), F.col("line").alias("body"))
+    found = work.keep(found, "found-sets")
+    # Rows that are repeated, or share an id, may give a line more than once.
+    return found if found.count() == total else work.keep(found.dropDuplicates(["node"]), "sets")
 
 
 def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, group_size, kept of every line."""
-    spark = docs.sparkSession
-    lines = work.keep(lines_of(docs).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line")), "lines")
-    rows = work.keep(lines.filter("line <> ''").select("doc_id", "line_no", "k1", "k2"), "rows")
-    blank = work.keep(lines.filter("line = ''").select("doc_id", "line_no"), "blank")
+    blank = F.col("line") == ""
+    rows = lines_of(docs).select("doc_id", "line_no", F.when(~blank, F.struct("k1", "k2")).alias("k"))
+    rows = work.keep(rows, "rows")
     place = F.struct(F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
-    distinct = lines.filter("line <> ''").groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("line").alias("line"))
-    # Bucketed by k1, so that a class's windows are gathered without a shuffle.
-    name, buckets = f"lines_{work.root.rsplit('-', 1)[1]}", partitions(spark)
-    numbered = distinct.withColumn("node", F.monotonically_increasing_id())
-    numbered.write.format("parquet").option("compression", "zstd").option("path", work.path("classes")).bucketBy(buckets, "k1").saveAsTable(name)
-    del distinct, numbered, lines
-    work.drop("lines")
+    distinct = rows.filter("k is not null").groupBy(F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")).agg(F.min(place).alias("place"), F.count("*").alias("copies"))
+    classes = distinct.join(signatures(docs), ["k1", "k2"], "left").withColumn("node", F.monotonically_increasing_id())
+    classes = work.keep(classes, "classes")
     work.release()
-    classes = spark.table(name)
-    keys = band_keys(classes.select("k1", "node", "line"), work)
-    chosen = work.keep(keys.select("k1", "node").distinct(), "chosen")
-    sets = classes.select("k1", "node", "copies", "line").join(chosen, ["k1", "node"], "left_semi").select("node", "copies", F.size(tokens(F.col("line"))).cast("long").alias("n"), F.col("line").alias("body"))
-    sets = work.keep(sets, "sets")
-    keys = work.keep(keys.select("key", "node").join(sets.select("node", "n", "copies", F.col("n").alias("useful")), "node"), "keys")
-    for done in ("bands", "band-lists", "band-keys"):
+    nodes = classes.select("k1", "k2", "node", "place", "copies")
+    keys = band_keys(classes, work)
+    chosen = work.keep(nodes.join(keys.select("node").distinct(), "node", "left_semi"), "chosen")
+    work.release()
+    sets = bodies(docs, chosen, work)
+    keys = work.keep(keys.join(sets.select("node", "n", "copies", F.col("n").alias("useful")), "node"), "keys")
+    for done in ("band-lists", "band-keys", "chosen"):
         work.drop(done)
     work.release()
 
-    def refine(nodes: DataFrame) -> DataFrame:
+    def refine(few: DataFrame) -> DataFrame:
         """Tokens that another of these nodes holds too."""
-        own = sets.join(nodes, "node", "left_semi").select("node", F.explode(tokens(F.col("body"))).alias("token"))
+        own = sets.join(few, "node", "left_semi").select("node", F.explode(F.array_distinct(windows(F.col("body")))).alias("w")).select("node", F.xxhash64("w").alias("token"))
         common = work.keep(own.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token"), "common")
         return own.join(common, "token").groupBy("node").agg(F.count("*").alias("bound"))
 
-    roots = work.keep(linked_classes(keys, sets, Measure(PERCENT), work, tokens, refine), "linked")
-    nodes = classes.select("k1", "k2", "node", "place", "copies")
+    roots = work.keep(linked_classes(keys, sets, Measure(PERCENT), work, windows, refine), "linked")
     groups = roots.join(nodes, "node").groupBy("root").agg(F.min("place").alias("keep"), F.sum("copies").alias("group_size"))
     named = roots.join(groups, "root").select("node", "keep", "group_size")
-    names = nodes.join(named, "node", "left").select("k1", "k2", "copies", F.coalesce("keep", "place").alias("keep"), F.coalesce("group_size", "copies").alias("group_size"))
-    names = work.keep(names.withColumn("k", F.struct("k1", "k2")).drop("k1", "k2"), "names")
-    own = rows.select("doc_id", "line_no", F.struct("k1", "k2").alias("k"))
-    out = join_heavy_apart(own, names, "k", "copies", rows.count())
+    names = nodes.join(named, "node", "left").select(F.struct("k1", "k2").alias("k"), "copies", F.coalesce("keep", "place").alias("keep"), F.coalesce("group_size", "copies").alias("group_size"))
+    names = work.keep(names, "names")
+    for done in ("classes", "found-sets", "sets", "keys"):
+        work.drop(done)
+    work.release()
+    out = join_heavy_apart(rows.filter("k is not null"), names, "k", "copies", rows.count())
     same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line_no") == F.col("keep.line_no"))
     out = out.select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), "group_size", same.alias("kept"))
-    alone = blank.select("doc_id", "line_no", F.col("doc_id").alias("keep_doc_id"), F.col("line_no").alias("keep_line_no"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    alone = rows.filter("k is null").select("doc_id", "line_no", F.col("doc_id").alias("keep_doc_id"), F.col("line_no").alias("keep_line_no"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
 
