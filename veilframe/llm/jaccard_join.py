@@ -10,7 +10,8 @@
    frequent, share two such). Long prefixes use single tokens instead; sizes near the border are indexed both ways.
 4. In each list one member is the pivot: the one whose set is shared most, with most copies. All others are verified
    against it, so a group of n near copies costs n verifications. Then members outside the pivot's component are
-   compared with the members of other components, as far as sizes, bounds and the overlaps with the pivot allow a link.
+   compared with the members of other components, as far as sizes, bounds, places in the prefixes and the overlaps with
+   the pivot allow a link.
    So no link between two components is lost, and members of one component are not paired.
 5. Components by distributed union-find.
 
@@ -36,8 +37,8 @@ from veilframe.llm.shingles import WordHasher, shingle_set
 
 #: A token that at most so many sets hold is of the rare class.
 RARE = 16
-#: Prefixes longer than this use single tokens of the frequent class: so pairs are at most 4.5 times as many keys.
-PAIR_PREFIX = 8
+#: Prefixes longer than this use single tokens of the frequent class: so pairs are at most 12.5 times as many keys.
+PAIR_PREFIX = 24
 #: Ids up to which a selection of documents is broadcast (at most 60 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -140,24 +141,29 @@ def ordered_sets(sets: DataFrame, measure: Measure, work: Workspace) -> DataFram
 
 
 def index_keys(ordered: DataFrame, measure: Measure, work: Workspace) -> DataFrame:
-    """(key, node) of every class: rare tokens, pairs of frequent tokens, frequent tokens of long prefixes."""
+    """(key, node) of every class: rare tokens, pairs of frequent tokens, frequent tokens of long prefixes.
+
+    room: the most that two sets can share if the key is the first that they have in common, by what follows it.
+    """
     least = F.floor((F.col("n") * measure.percent + 99) / 100)
     prefix = F.greatest(F.lit(1), F.col("useful") - least + 1).cast("int")
     border = 0
     while measure.prefix(border) <= PAIR_PREFIX:
         border += 1  # sets of this size on have longer prefixes
+    kind = "struct<key:bigint,room:bigint>"
     rows = ordered.withColumn("prefix", prefix)
-    first = F.slice("useful_tokens", F.lit(1), F.col("prefix"))
-    longer = F.slice("useful_tokens", F.lit(1), F.col("prefix") + 1)
-    rare = F.transform(F.filter(first, lambda x: x["sets"] <= RARE), lambda x: F.xxhash64(x["token"]))
-    often = F.transform(F.filter(longer, lambda x: x["sets"] > RARE), lambda x: x["token"])
-    singles = F.transform(F.filter(first, lambda x: x["sets"] > RARE), lambda x: F.xxhash64(x["token"]))
-    pairs = F.flatten(F.transform(often, lambda x, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda y: F.xxhash64(x, y))))
-    none = F.array().cast("array<bigint>")
+    placed = F.transform(F.slice("useful_tokens", F.lit(1), F.col("prefix") + 1), lambda x, i: F.struct(x["sets"].alias("sets"), x["token"].alias("token"), i.alias("at")))
+    key = lambda room, *xs: F.struct(F.xxhash64(*[x["token"] for x in xs]).alias("key"), room.alias("room")).cast(kind)
+    one = lambda x: key(F.col("useful") - x["at"], x)
+    rare = F.transform(F.filter(placed, lambda x: (x["at"] < F.col("prefix")) & (x["sets"] <= RARE)), one)
+    often = F.filter(placed, lambda x: x["sets"] > RARE)
+    singles = F.transform(F.filter(often, lambda x: x["at"] < F.col("prefix")), one)
+    pairs = F.flatten(F.transform(often, lambda x, i: F.transform(F.slice(often, i + 2, F.size(often)), lambda y: key(F.col("useful") - y["at"] + 1, x, y))))
+    none = F.array().cast(f"array<{kind}>")
     pairs = F.when((F.col("n") < border) & (F.size(often) > 1), pairs).otherwise(none)
     singles = F.when(F.col("n") * 100 >= border * measure.percent, singles).otherwise(none)
-    keys = rows.select("node", "n", "copies", "useful", F.explode(F.array_distinct(F.concat(rare, pairs, singles))).alias("key"))
-    return work.keep(keys, "keys")
+    keys = rows.select("node", "n", "copies", "useful", F.explode(F.array_distinct(F.concat(rare, pairs, singles))).alias("k"))
+    return work.keep(keys.select("node", "n", "copies", "useful", "k.key", "k.room"), "keys")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, measure: Measure, work: Workspace, label: str, tokens: Callable[[Column], Column]) -> DataFrame:
@@ -179,7 +185,8 @@ def possible(measure: Measure, x: str, y: str) -> Column:
 def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Workspace, tokens: Callable[[Column], Column] = lambda body: body, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of every class that links with another of a list.
 
-    keys: key, node, n, copies, useful (the tokens of a set that others of its lists may hold; n is always right).
+    keys: key, node, n, copies, useful (the tokens of a set that others of its lists may hold; n is always right), and
+    room where it is known (the most that a set can share with one whose first common key this is).
     sets: node, n, body. refine gives (node, bound) of nodes: a smaller useful among these nodes, where it is worth it.
     """
     best = F.max(F.struct((F.col("useful") / F.col("n")).alias("share"), "copies", "n", "useful", "node"))
@@ -199,7 +206,8 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     known = work.keep(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap")), "overlaps")
     of = roots.select(F.col("node").alias("other"), "root")
     # A list of two is its pivot and one other, so it has no further pair.
-    row = member.filter("members > 2").select("key", "node", "n", "useful", "pivot")
+    room = ["room"] if "room" in keys.columns else []
+    row = member.filter("members > 2").select("key", "node", "n", "useful", "pivot", *room)
     row = row.join(of, F.col("node") == F.col("other"), "left").withColumn("root", F.coalesce("root", "node")).drop("other")
     pivots = of.select(F.col("other").alias("p"), F.col("root").alias("pivot_root"))
     row = row.join(pivots, F.col("pivot") == F.col("p"), "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot")).drop("p")
@@ -221,6 +229,9 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     within = F.least("x.overlap", "y.overlap")
     beyond = F.least(F.col(f"x.{whole}") - F.col("x.overlap"), F.col(f"y.{whole}") - F.col("y.overlap"))
     bound = ~both_known | ((within + beyond) * scale >= measure.pair_overlap(F.col("x.n"), F.col("y.n")))
+    if room:
+        # Sets that link pass this at their first common key, though not at each later one.
+        bound = bound & (F.least("x.room", "y.room") * scale >= measure.pair_overlap(F.col("x.n"), F.col("y.n")))
     once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & possible(measure, "x", "y") & bound)
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
