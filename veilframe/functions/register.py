@@ -1,7 +1,7 @@
-"""The functions by name for SQL text, without Python at run time.
+"""The functions by name, for SQL text over views that hold their results as columns.
 
-``sql`` runs a statement in which the functions below stand for their expressions: a call is replaced by a column that
-is made from the DataFrame functions, so Catalyst sees built-ins only.
+Each call becomes a column made from the DataFrame functions, so Catalyst sees built-ins only. They can't be called
+inside SQL text itself.
 """
 
 from __future__ import annotations

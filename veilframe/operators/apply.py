@@ -35,16 +35,16 @@ def of_deck_sites(texts: DataFrame, sites: DataFrame) -> DataFrame:
     """Requests for enabled deck sites whose text is still there."""
     able = sites.filter("enabled and location.type = 'ppt'").withColumn("slide", F.col("location.slide"))
     current = texts.withColumn("table_location", F.when(F.col("part") == "table", F.format_string("R%dC%d", F.col("row") + 1, F.col("col") + 1)))
-    current = current.withColumn("shape", F.when(F.col("part") == "notes", F.lit("notes")).otherwise(F.col("shape_name"))).groupBy("file", "slide", "shape", "table_location").agg(F.array_join(F.collect_list("text"), "\n").alias("cell_text"))
+    current = current.withColumn("shape", F.when(F.col("part") == "notes", F.lit("notes")).otherwise(F.col("shape_name"))).groupBy("file", "slide", "shape", "table_location").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("shape_ord", "para_idx", "text"))), lambda x: x["text"]), "\n").alias("cell_text"))
     hit = able.join(current.select(*[F.col(c).alias(f"_{c}") for c in current.columns]), (F.col("file") == F.col("_file")) & (F.col("slide") == F.col("_slide")) & (F.col("location.shape_id") == F.col("_shape")) & F.col("location.table_location").eqNullSafe(F.col("_table_location")))
     return hit.filter(F.contains(F.col("_cell_text"), F.col("original_value"))).select("file", F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("string").alias("cell"), F.struct(F.lit(1).alias("phase"), F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("ord").cast("bigint").alias("c")).alias("at"), "site_id", F.col("location").cast(LOCATION).alias("location"), F.col("original_value").alias("original"), "action", "params", F.col("_cell_text").alias("cell_text"))
 
 
 def changes(requests: DataFrame) -> DataFrame:
-    """Each request's outcome: redacted and the cell's new text, or an error; ord is dense in the order of execution."""
-    # A request's place packed into one number, which orders aliases by sheet, rule and row, then sites.
+    """Each request's outcome: redacted and the cell's new text, or an error. Aliases are numbered file by file; ord orders a file's requests as they are executed."""
+    # A request's place in its file packed into one number, which orders aliases by sheet, rule and row, then sites.
     at = F.shiftleft(F.col("at.phase").cast("bigint"), 60) + F.shiftleft(F.col("at.a").cast("bigint"), 48) + F.shiftleft(F.col("at.b"), 36) + F.col("at.c")
-    done = redact(requests.withColumn("ord", at), "original", "action", "params", "ord")
+    done = redact(requests.withColumn("ord", at), "original", "action", "params", "ord", "file")
     value = numeric_write_back(F.col("action"), F.col("redacted"))
     whole = F.col("original") == F.col("cell_text")
     new_text = F.when(whole, value).otherwise(F.replace(F.col("cell_text"), F.col("original"), value))

@@ -9,19 +9,19 @@ from veilframe.functions import amount, identity
 from veilframe.operators.alias import aliases
 from veilframe.operators.rules import ACTIONS
 
-PARAMS = "struct<unit:string,decimal_places:string,percentage:string,prefix:string,keep_first:string,keep_prefix:string,keep_suffix:string,char:string>"
-#: The most decimals and kept characters that parameters may ask for; others count as given wrongly.
-PLACES, KEPT = 8, 8
+PARAMS = "struct<unit:string,decimal_places:bigint,percentage:double,prefix:string,keep_first:bigint,keep_prefix:bigint,keep_suffix:bigint,char:string>"
+#: What larger numbers count as: a double has no more places, no text more characters.
+PLACES, KEPT = 320, 1_000_000_000
 
 
 def typed(params: Column) -> Column:
-    """The known parameters of a JSON text; of a wrong type or missing: the default."""
+    """The known parameters of a JSON text; numbers that are missing, negative, fractions or JSON strings: the default."""
     p = F.from_json(F.coalesce(params, F.lit("{}")), PARAMS)
-    whole = lambda x, default, top: F.coalesce(F.when(x.rlike("^[0-9]{1,3}$") & (x.try_cast("int") <= top), x.try_cast("int")), F.lit(default))
+    whole = lambda x, default, top: F.coalesce(F.when(x >= 0, F.least(x, F.lit(top))), F.lit(default)).cast("int")
     text = lambda x, default: F.coalesce(x, F.lit(default))
     return F.struct(
-        text(p["unit"], "million").alias("unit"), whole(p["decimal_places"], 2, PLACES).alias("decimal_places"), F.coalesce(amount.strict_double(p["percentage"]), F.lit(5.0)).alias("percentage"),
-        text(p["prefix"], "公司").alias("prefix"), whole(p["keep_first"], 1, KEPT).alias("keep_first"), whole(p["keep_prefix"], 3, 99).alias("keep_prefix"), whole(p["keep_suffix"], 4, 99).alias("keep_suffix"), text(p["char"], "*").alias("char"),
+        text(p["unit"], "million").alias("unit"), whole(p["decimal_places"], 2, PLACES).alias("decimal_places"), F.coalesce(p["percentage"], F.lit(5.0)).alias("percentage"),
+        text(p["prefix"], "公司").alias("prefix"), whole(p["keep_first"], 1, KEPT).alias("keep_first"), whole(p["keep_prefix"], 3, KEPT).alias("keep_prefix"), whole(p["keep_suffix"], 4, KEPT).alias("keep_suffix"), text(p["char"], "*").alias("char"),
     )
 
 
@@ -56,15 +56,16 @@ def masked(value: Column, action: Column, params: Column, alias: Column | None =
     return amount.let(amount.let(row, of), explained)
 
 
-def redact(df: DataFrame, value: str = "value", action: str = "action", params: str = "params", ord: str = "ord") -> DataFrame:
-    """df with redacted and error; aliases are numbered in the order of ord over all rows that ask for one."""
+def redact(df: DataFrame, value: str = "value", action: str = "action", params: str = "params", ord: str = "ord", group: str | None = None) -> DataFrame:
+    """df with redacted and error; aliases are numbered in the order of ord over all rows (of a group) that ask for one."""
     label = typed(F.col(params))["prefix"]
-    asked = df.filter(F.col(action) == "alias").select(F.col(value).alias("v"), label.alias("p"), F.col(ord).alias("o"))
-    names = aliases(asked, "v", "o", "p").select(F.col("value").alias("_v"), F.col("alias").alias("_a"))
+    own = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
+    asked = df.filter(F.col(action) == "alias").select(F.col(value).alias("v"), label.alias("p"), F.col(ord).alias("o"), own.alias("g"))
+    names = aliases(asked, "v", "o", "p", group="g").select(F.col("group").alias("_g"), F.col("value").alias("_v"), F.col("alias").alias("_a"))
     key = F.when(F.col(action) == "alias", F.col(value))
-    joined = df.withColumn("_key", key).join(names, F.col("_key") == F.col("_v"), "left")
+    joined = df.withColumn("_key", key).join(names, (F.col("_key") == F.col("_v")) & (own == F.col("_g")), "left")
     result = masked(F.col(value), F.col(action), F.col(params), F.coalesce("_a", F.when(F.length(value) == 0, F.col(value))))
-    return joined.withColumn("_r", result).withColumn("redacted", F.col("_r.value")).withColumn("error", F.col("_r.error")).drop("_r", "_key", "_v", "_a")
+    return joined.withColumn("_r", result).withColumn("redacted", F.col("_r.value")).withColumn("error", F.col("_r.error")).drop("_r", "_key", "_v", "_a", "_g")
 
 
 def numeric_write_back(action: Column, redacted: Column) -> Column:

@@ -15,6 +15,8 @@ from veilframe.functions.amount import let
 from veilframe.operators.classify import SHEET
 
 SEARCH_ROWS, HEADER_ROWS = 20, 5
+#: Rows of a sheet that the search for its header looks at.
+HEAD = SEARCH_ROWS + HEADER_ROWS + 1
 HAN = r"[^\x{4E00}-\x{9FFF}]"
 # What a note's first text begins with.
 NOTES = ("注释", "Notes", "Description", "注释：")
@@ -107,10 +109,11 @@ def scores(values: Column, following: Column) -> dict[str, Column]:
     return {"uniqueness": unique, "non_numeric": words, "chinese": han, "entropy": entropy, "next_numeric": numbers_follow, "score": F.when(n > 0, total).otherwise(0.0)}
 
 
-def row_values(cells: DataFrame, sheets: DataFrame, rows: int = SEARCH_ROWS + HEADER_ROWS + 1) -> DataFrame:
-    """Per sheet and row of its head: the texts of its cells by column, and the sheet's columns; rows without cells too."""
-    spine = sheets.filter("end_row >= 0").select(*SHEET, (F.col("end_col") + 1).alias("n_cols"), F.explode(F.sequence(F.lit(0), F.least("end_row", F.lit(rows - 1)))).alias("row"))
-    found = cells.filter(F.col("row") < rows).groupBy(*SHEET, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("own"))
+def row_values(cells: DataFrame, sheets: DataFrame, rows: int | None = HEAD) -> DataFrame:
+    """Per sheet and row (of its head, or all if rows is None): the texts of its cells by column, and the sheet's columns; rows without cells too."""
+    last = F.col("end_row") if rows is None else F.least("end_row", F.lit(rows - 1))
+    spine = sheets.filter("end_row >= 0").select(*SHEET, (F.col("end_col") + 1).alias("n_cols"), F.explode(F.sequence(F.lit(0), last)).alias("row"))
+    found = (cells if rows is None else cells.filter(F.col("row") < rows)).groupBy(*SHEET, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("own"))
     values = F.transform(F.coalesce("own", F.array().cast("array<struct<col:int,text:string>>")), lambda x: x["text"])
     return spine.join(found, [*SHEET, "row"], "left").select(*SHEET, "row", "n_cols", values.alias("values"))
 
