@@ -63,6 +63,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, from sf_dir's documents to sequences."""
     work, docs = Workspace(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = work.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)  # what a stage has read isn't needed any more
+        before = name
     return docs
