@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from veilframe.llm import exact_dedup
 from veilframe.llm.shared import Workspace
 
@@ -35,3 +38,22 @@ def test_index_persists_and_grows(spark):
 def test_empty(spark):
     work = Workspace(spark, "t")
     assert exact_dedup.assign(docs(spark).limit(0), exact_dedup.open_index(spark, work), work).count() == 0
+
+
+def test_reopened_with_other_partitions(spark, tmp_path):
+    """An index of 4 buckets, opened by another name in a session of 7 partitions: nothing that is known is new."""
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(100)], "doc_id long, text string")
+    place = f"file://{tmp_path}/index"
+    exact_dedup.assign(docs, exact_dedup.DigestIndex(spark, place, "reopened_a", 4), Workspace(spark, "t")).count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        index = exact_dedup.DigestIndex(spark, place, "reopened_b")
+        again = docs.withColumn("doc_id", F.col("doc_id") + 1000)
+        assert index.buckets == 4
+        assert exact_dedup.assign(again, index, Workspace(spark, "t")).filter("kept or keep_id >= 1000").count() == 0
+        assert index.table().count() == 100
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, place, "reopened_c", 8)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

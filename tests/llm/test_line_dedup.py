@@ -88,7 +88,7 @@ def test_every_window_is_signed(spark):
 
 def test_chain_past_the_pivot(spark, monkeypatch):
     """The pivot p (most copies) links with y, y with x, and p with x does not: x is still compared with y."""
-    monkeypatch.setattr(line_dedup, "band_keys", lambda classes, work: classes.select(F.lit(1).cast("long").alias("key"), "k1", "node"))
+    monkeypatch.setattr(line_dedup, "band_keys", lambda classes, work: classes.select(F.lit(1).cast("long").alias("key"), "node"))
     rng = random.Random(8)
     y = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(108))
     p, x = y[:30] + "0" + y[31:], y[:70] + "0" + y[71:]

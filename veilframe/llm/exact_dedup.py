@@ -31,9 +31,20 @@ class DigestIndex:
     """A persistent table of the digests seen so far, bucketed and sorted by digest."""
 
     def __init__(self, spark: SparkSession, location: str, name: str, buckets: int | None = None):
-        """location: a shared folder; name: the table's name in the session's catalogue; buckets: fixed when the index is made."""
+        """location: a shared folder; name: the table's name in the session's catalogue; buckets: fixed when the index is made.
+
+        The number of buckets is kept in a table beside the index, as files don't tell it; another one is refused.
+        """
         self.spark, self.name, self.location = spark, name, location
-        n = buckets or partitions(spark)
+        beside = f"{location.rstrip('/')}-buckets"
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}/_SUCCESS")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            n = spark.read.schema("buckets int").parquet(beside).first()["buckets"]
+            if buckets not in (None, n):
+                raise ValueError(f"the index at {location} has {n} buckets, not {buckets}")
+        else:
+            n = buckets or partitions(spark)
+            spark.range(1).select(F.lit(n).alias("buckets")).write.mode("overwrite").parquet(beside)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS `{name}` (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS LOCATION '{location}'"

@@ -41,7 +41,7 @@ FAMILIES: list[tuple[str, str, str, dict[str, str], list[str], list[str]]] = [
     ("gpl", "gpl", "(?:gnu )?gpl(?: license)?", {"-1": "1(?: 0)?", "-2": "2(?: 0)?", "-3": "3(?: 0)?"}, ["gpl 1 0", "gpl 2 0", "gpl 3 0"], []),
     ("gpl-2", "gplv2", r"gplv2\+?", {}, [], []),
     ("gpl-3", "gplv3", r"gplv3\+?", {}, [], []),
-    ("lgpl", "gnu lesser", rf"gnu (?:lesser|library) general public {L}", {"-2": "2(?: 0)?", "-2.1": "2 1", "-3": "3(?: 0)?"}, [], ["under the terms of the gnu lesser general public license"]),
+    ("lgpl", "general public", rf"gnu (?:lesser|library) general public {L}", {"-2": "2(?: 0)?", "-2.1": "2 1", "-3": "3(?: 0)?"}, [], ["under the terms of the gnu lesser general public license"]),
     ("lgpl", "gnu library", rf"gnu library general public {L}", {"-2": "2(?: 0)?"}, [], []),
     ("lgpl", "lgpl", "(?:gnu )?lgpl", {"-2": "2(?: 0)?", "-2.1": "2 1", "-3": "3(?: 0)?"}, ["lgpl 2 1", "lgpl 3 0"], []),
     ("agpl", "gnu affero", rf"gnu affero general public {L}", {"-1": "1(?: 0)?", "-3": "3(?: 0)?"}, [], ["remote network interaction use with the gnu general public license"]),
@@ -138,7 +138,7 @@ def build() -> list[Rule]:
         for x in phrases:
             out.append(Rule(label, keyword if keyword in x else " ".join(x.split()[:3]).replace("\\", ""), x, 1, 0.97))
         out.append(Rule(label, keyword, name, 3, 0.6))
-    return [r for r in out]
+    return out
 
 
 RULES = build()

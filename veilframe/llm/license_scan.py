@@ -6,7 +6,8 @@ order of start, longest first, a detection is dropped if an interval of equal or
 the largest end seen at each priority). Base phrases are never dropped.
 
 Defined cases: a null text counts as empty (no words, no detections, score 0); repeated rows and null ids give a row
-each; other columns of the input are carried by ``scan`` as they are, and its own column names must be free.
+each; texts of any length are read whole; an empty table gives no rows; other columns of the input are carried by ``scan``
+as they are: where one has the name of a column that ``scan`` adds, the added one gets underscores in front.
 """
 
 from __future__ import annotations
@@ -75,10 +76,22 @@ def sweep(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), start, step, lambda acc: acc["out"])
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores in front until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "_" + name
+    return name
+
+
 def scan(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """docs with n_words int and spans array<struct<first, end, priority, rule, label, confidence, base>> added."""
+    own, spans_name = free("n_words", docs.columns), free("spans", docs.columns)
+    row = free("_row", docs.columns)
+    given = docs.columns
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias(row), F.col(f"`{text}`").alias("_text"))
+    text = "_text"
     words = spaced(text_of(text))
-    docs = docs.withColumn("_words", words).withColumn("n_words", F.when(F.length("_words") > 2, spaces(F.col("_words")) - 1).otherwise(0))
+    docs = docs.withColumn("_words", words).drop("_text").withColumn("n_words", F.when(F.length("_words") > 2, spaces(F.col("_words")) - 1).otherwise(0))
     lower = F.translate("_words", UPPER, LOWER)
     due = F.when(F.col("_words").rlike(stem_pattern()), lower)
     docs = docs.withColumn("_lower", due).drop("_words")
@@ -89,7 +102,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> Data
     docs = docs.withColumn("_raw", F.when(low.isNotNull(), raw).otherwise(none))
     kept = F.when(F.size("_raw") > 0, sweep(F.col("_raw"))).otherwise(none)
     view = F.transform(kept, lambda x: F.struct(x["first"].alias("first"), (-x["back"]).alias("end"), x["priority"].alias("priority"), x["rule"].alias("rule"), x["label"].alias("label"), x["confidence"].alias("confidence"), x["base"].alias("base")))
-    return docs.withColumn("spans", view).drop("_raw", "_lower")
+    return docs.select(f"{row}.*", F.col("n_words").alias(own), view.alias(spans_name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,13 +15,17 @@ HEAVY_SHARE = 1 / 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    That one is a temporary folder in local mode only; elsewhere it is below the warehouse.
+    """
     own = spark.sparkContext.getCheckpointDir()
     setting = spark.conf.get("spark.checkpoint.dir", None)
     if own is None and setting:
         spark.sparkContext.setCheckpointDir(setting)
     elif own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
+        local = spark.sparkContext.master.startswith("local[")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/veilframe-work")
     return setting or spark.sparkContext.getCheckpointDir()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,9 @@ LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += np.uint64(32)
 LOWER += np.uint64(1)
 LOWER[SPACE] = 0
+#: Bytes of a word from which on it has a digest for a hash.
+LONG = 64
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 STEP = 0xBF58476D1CE4E5B9
 
@@ -35,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class WordHasher:
     def __init__(self):
-        self.tables = [powers(b, 64) for b in BASES]
+        self.tables = [powers(b, LONG) for b in BASES]
 
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word, and where in data it begins."""
@@ -47,13 +51,18 @@ class WordHasher:
         begin = np.repeat(first, np.diff(np.append(first, len(raw))))
         at = np.arange(first[0], len(raw)) - begin
         codes = LOWER[raw[first[0] :]]
-        longest = int(at.max()) + 1
+        size = np.add.reduceat(~gap[first[0] :], first - first[0], dtype=np.int64)
+        # Longer words get a digest: sums of powers can be made to collide by words of thousands of characters.
+        long = np.flatnonzero(size > LONG)
+        at = np.minimum(at, LONG - 1)
         out = []
-        for i, base in enumerate(BASES):
-            if len(self.tables[i]) < longest:
-                self.tables[i] = powers(base, longest)
+        for i in range(len(BASES)):
             out.append(np.add.reduceat(codes * self.tables[i][at], first - first[0]))
-        return mix(out[0] ^ mix(out[1])), first
+        hashes = mix(out[0] ^ mix(out[1]))
+        for k in long.tolist():
+            word = data[first[k] : first[k] + size[k]].translate(LOWER_BYTES)
+            hashes[k] = np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), np.uint64)[0]
+        return hashes, first
 
     def documents(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The word hashes of each text."""
