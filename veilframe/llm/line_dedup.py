@@ -39,8 +39,12 @@ BROADCAST_LINES = 500_000
 
 
 def windows(line: Column) -> Column:
-    """All windows of WIDTH characters, from left to right."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
+    """The hashes of all windows of WIDTH characters, from left to right; for lines that have one."""
+    wide = 4 * WIDTH  # characters of four bytes each, so that a window is found by its place
+    # An array of one, as a lambda's variable is evaluated once and not for each window.
+    code = F.array(F.encode(line, "UTF-32"))
+    at = lambda c: F.sequence(F.lit(1), F.octet_length(c) - (wide - 1), F.lit(4))
+    return F.element_at(F.transform(code, lambda c: F.transform(at(c), lambda i: F.xxhash64(F.substring(c, i, F.lit(wide))))), 1)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -105,7 +109,7 @@ def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
 
     def refine(few: DataFrame) -> DataFrame:
         """Tokens that another of these nodes holds too."""
-        own = sets.join(few, "node", "left_semi").select("node", F.explode(F.array_distinct(windows(F.col("body")))).alias("w")).select("node", F.xxhash64("w").alias("token"))
+        own = sets.join(few, "node", "left_semi").select("node", F.explode(F.array_distinct(windows(F.col("body")))).alias("token"))
         common = work.keep(own.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token"), "common")
         return own.join(common, "token").groupBy("node").agg(F.count("*").alias("bound"))
 
