@@ -182,12 +182,13 @@ def possible(measure: Measure, x: str, y: str) -> Column:
     return (F.least(f"{x}.useful", f"{y}.useful") * scale >= need) & (F.least(f"{x}.n", f"{y}.n") * scale >= need)
 
 
-def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Workspace, tokens: Callable[[Column], Column] = lambda body: body, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Workspace, tokens: Callable[[Column], Column] = lambda body: body, indexed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of every class that links with another of a list.
 
     keys: key, node, n, copies, useful (the tokens of a set that others of its lists may hold; n is always right), and
     room where it is known (the most that a set can share with one whose first common key this is).
-    sets: node, n, body. refine gives (node, bound) of nodes: a smaller useful among these nodes, where it is worth it.
+    sets: node, n, body. indexed, where keys alone don't tell enough of a pair: (a, b) of all that may link of different
+    roots, from the members (node, n, root, least_n: no partner is smaller) of the lists that hold several components.
     """
     best = F.max(F.struct((F.col("useful") / F.col("n")).alias("share"), "copies", "n", "useful", "node"))
     lists = keys.groupBy("key").agg(F.count("*").alias("members"), best.alias("pivot")).filter("members > 1")
@@ -215,26 +216,22 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     mixed = row.groupBy("key").agg(F.count_if("outside").alias("strays"), F.min("n").alias("least_n")).filter("strays > 0").select("key", "least_n")
     # A stray links with nothing of its list if even the smallest member is too large for its bound.
     row = work.keep(row.join(mixed, "key").filter((F.col("node") != F.col("pivot")) & (F.col("useful") * scale >= (F.col("n") + F.col("least_n")) * measure.percent)), "mixed")
-    whole = "useful"
-    if refine is not None:
-        # Pivots aren't among these nodes, so what a set shares with one alone is in whole, not in the refined useful.
-        whole, row = "whole", row.withColumn("whole", F.col("useful"))
-        bounds = work.keep(refine(row.select("node").distinct()), "bounds")
-        row = row.join(bounds, "node").withColumn("useful", F.least("useful", "bound")).drop("bound")
-        row = work.keep(row.filter(F.col("useful") * scale >= (F.col("n") + F.col("least_n")) * measure.percent), "refined")
-    seen = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "overlap")
-    row = work.keep(row.join(seen, ["node", "pivot"], "left"), "bounded")
-    x, y = row.filter("outside").alias("x"), row.alias("y")
-    both_known = F.col("x.overlap").isNotNull() & F.col("y.overlap").isNotNull()
-    within = F.least("x.overlap", "y.overlap")
-    beyond = F.least(F.col(f"x.{whole}") - F.col("x.overlap"), F.col(f"y.{whole}") - F.col("y.overlap"))
-    bound = ~both_known | ((within + beyond) * scale >= measure.pair_overlap(F.col("x.n"), F.col("y.n")))
-    if room:
-        # Sets that link pass this at their first common key, though not at each later one.
-        bound = bound & (F.least("x.room", "y.room") * scale >= measure.pair_overlap(F.col("x.n"), F.col("y.n")))
-    once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & possible(measure, "x", "y") & bound)
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    if indexed is not None:
+        pairs = indexed(row.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least_n").alias("least_n")))
+    else:
+        seen = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "overlap")
+        row = work.keep(row.join(seen, ["node", "pivot"], "left"), "bounded")
+        x, y = row.filter("outside").alias("x"), row.alias("y")
+        both_known = F.col("x.overlap").isNotNull() & F.col("y.overlap").isNotNull()
+        within = F.least("x.overlap", "y.overlap")
+        beyond = F.least(F.col("x.useful") - F.col("x.overlap"), F.col("y.useful") - F.col("y.overlap"))
+        bound = ~both_known | ((within + beyond) * scale >= measure.pair_overlap(F.col("x.n"), F.col("y.n")))
+        if room:
+            # Sets that link pass this at their first common key, though not at each later one.
+            bound = bound & (F.least("x.room", "y.room") * scale >= measure.pair_overlap(F.col("x.n"), F.col("y.n")))
+        once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & possible(measure, "x", "y") & bound)
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = work.keep(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     second = verify(pairs, sets, measure, work, "checked", tokens)
     if second.filter("linked").isEmpty():

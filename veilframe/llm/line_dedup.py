@@ -5,8 +5,9 @@ line. A class's set are its line's windows of ``WIDTH`` characters, all of them.
 ``MINIMA`` fixed numbers, the smallest of the windows' hashes xor that number: as hashes are random, two sets agree there
 with the probability of their Jaccard similarity, whatever the number. A band is three of the minima; no two bands have
 two minima in common. Classes that agree in a band are candidates: at similarity 0.8, 99.8 of 100 pairs. The sets of
-candidates are compared exactly, list by list, as in ``jaccard_join``: against the list's pivot, then whatever isn't in
-its component, so that no group of near copies is paired with itself. Distributed union-find gives the components; of
+candidates are compared exactly: of each list, all with its pivot, as in ``jaccard_join``, so that no group of near copies
+is paired with itself; then members of lists that still hold several components, where prefixes of their sets, rarest
+windows first, share a window (an exact filter, which also spares lines that have only a common passage in common). Distributed union-find gives the components; of
 each, the line at the smallest (doc_id, line number) stays.
 
 Texts are read where they are: windows are hashed and reduced to minima before anything is shuffled, and only lines
@@ -87,6 +88,29 @@ def bodies(docs: DataFrame, chosen: DataFrame, work: Workspace) -> DataFrame:
     return found if found.count() == total else work.keep(found.dropDuplicates(["node"]), "sets")
 
 
+def prefix_pairs(few: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b) of all nodes of different roots that may link: they share a window of their prefixes.
+
+    Windows are ordered by the number of these sets that hold them; those of one set match nothing. Two sets that link
+    have their first common window in both prefixes, and no more in common than what follows it.
+    """
+    measure, scale = Measure(PERCENT), 100 + PERCENT
+    own = sets.join(few.select("node"), "node", "left_semi").select("node", F.explode(F.array_distinct(windows(F.col("body")))).alias("token"))
+    common = work.keep(own.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1"), "common")
+    ordered = own.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("tokens"))
+    ordered = ordered.join(few, "node").withColumn("useful", F.size("tokens").cast("long"))
+    ordered = ordered.filter(F.col("useful") * scale >= (F.col("n") + F.greatest("least_n", F.col("n") * PERCENT / 100)) * PERCENT)
+    least = F.floor((F.col("n") * PERCENT + 99) / 100)
+    prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.col("useful") - least + 1).cast("int"))
+    placed = ordered.select("node", "n", "root", "useful", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("at", "token"))
+    placed = work.keep(placed.select("node", "n", "root", "token", (F.col("useful") - F.col("at")).alias("room")), "prefixes")
+    x, y = placed.alias("x"), placed.alias("y")
+    need = measure.pair_overlap(F.col("x.n"), F.col("y.n"))
+    fits = F.least("x.room", "y.room", "x.n", "y.n") * scale >= need
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, group_size, kept of every line."""
     blank = F.col("line") == ""
@@ -107,13 +131,10 @@ def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
         work.drop(done)
     work.release()
 
-    def refine(few: DataFrame) -> DataFrame:
-        """Tokens that another of these nodes holds too."""
-        own = sets.join(few, "node", "left_semi").select("node", F.explode(F.array_distinct(windows(F.col("body")))).alias("token"))
-        common = work.keep(own.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token"), "common")
-        return own.join(common, "token").groupBy("node").agg(F.count("*").alias("bound"))
+    def indexed(few: DataFrame) -> DataFrame:
+        return prefix_pairs(few, sets, work)
 
-    roots = work.keep(linked_classes(keys, sets, Measure(PERCENT), work, windows, refine), "linked")
+    roots = work.keep(linked_classes(keys, sets, Measure(PERCENT), work, windows, indexed), "linked")
     groups = roots.join(nodes, "node").groupBy("root").agg(F.min("place").alias("keep"), F.sum("copies").alias("group_size"))
     named = roots.join(groups, "root").select("node", "keep", "group_size")
     names = nodes.join(named, "node", "left").select(F.struct("k1", "k2").alias("k"), "copies", F.coalesce("keep", "place").alias("keep"), F.coalesce("group_size", "copies").alias("group_size"))
