@@ -96,3 +96,25 @@ def test_chain_past_the_pivot(spark, monkeypatch):
     df = spark.createDataFrame([(0, x), (1, y), (2, p), (3, p), (4, p)], "doc_id long, text string")
     got = {r.doc_id: (r.keep_doc_id, r.group_size, r.kept) for r in line_dedup.dedup(df, Workspace(spark, "t")).collect()}
     assert got == {i: (0, 5, i == 0) for i in range(5)}
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    rng = random.Random(9)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(60))  # a passage that all lines hold
+    lines = []
+    for _ in range(12):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([10, 40, 200])))
+        for _ in range(4):
+            at = rng.randrange(len(own))
+            lines.append(common + own[:at] + rng.choice("xyz") + own[at + rng.choice([0, 1, 1, 3]) :])
+    lines = sorted(set(lines))
+    sets = [windows(x) for x in lines]
+    work = Workspace(spark, "prefix-test")
+    bodies = spark.createDataFrame([(i, len(sets[i]), x) for i, x in enumerate(lines)], "node long, n long, body string")
+    few = spark.createDataFrame([(i, len(s), i, min(map(len, sets))) for i, s in enumerate(sets)], "node long, n long, root long, least_n long")
+    found = {(r.a, r.b) for r in line_dedup.prefix_pairs(few, bodies, work).collect()}
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j)]
+    links = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= line_dedup.PERCENT * len(sets[i] | sets[j])}
+    assert links and links <= found
+    assert len(found) < len(pairs) / 2  # the common passage alone proposes nothing
+    work.drop()
