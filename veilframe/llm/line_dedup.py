@@ -7,8 +7,8 @@ with the probability of their Jaccard similarity, whatever the number. A band is
 two minima in common. Classes that agree in a band are candidates: at similarity 0.8, 99.8 of 100 pairs. The sets of
 candidates are compared exactly: of each list, all with its pivot, as in ``jaccard_join``, so that no group of near copies
 is paired with itself; then members of lists that still hold several components, where prefixes of their sets, rarest
-windows first, share a window (an exact filter, which also spares lines that have only a common passage in common). Distributed union-find gives the components; of
-each, the line at the smallest (doc_id, line number) stays.
+windows first, share a window (an exact filter, which also spares lines that have only a common passage in common).
+Distributed union-find gives the components; of each, the line at the smallest (doc_id, line number) stays.
 
 Texts are read where they are: windows are hashed and reduced to minima before anything is shuffled, and only lines
 that are candidates are fetched once more.
