@@ -125,6 +125,28 @@ def test_generate_and_redact(spark, folder, tmp_path):
     assert sorted(r.status for r in rows) == ["failed", "skipped_exists", "skipped_exists"]
 
 
+def test_several_files(spark, tmp_path):
+    """Equal stems get outputs of their own; a site that names no file is one of every file that has its place."""
+    for name, value in (("a/x.xlsx", "甲 31 号"), ("b/x.xlsx", "乙 31 号"), ("b/y.xlsx", "丙 32 号")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(xlsx.build([("S", True, [[value]], [])]))
+    plan = strategy.load("sites: [{site_id: s, location: {sheet: S, cell: A1}, original_value: '31', action: mask_account, params: {keep_prefix: 0, keep_suffix: 0}}]")
+    rows = redact(spark, str(tmp_path / "in"), str(tmp_path / "out"), plan, Options(operator="me", timestamp="2024-01-01T00:00:00")).collect()
+    assert [r.status for r in rows] == ["ok"] * 3 and len({r.output for r in rows}) == 3
+    texts = {r.file.rpartition("/in/")[2]: xlsx.text_in(open(r.output, "rb").read(), "S", "A1").rstrip("\u200b\u200c") for r in rows}
+    assert texts == {"a/x.xlsx": "甲 ** 号", "b/x.xlsx": "乙 ** 号", "b/y.xlsx": "丙 32 号"}
+    assert (tmp_path / "out" / "x_脱敏.xlsx").exists() and len(list((tmp_path / "out").glob("*_日志.json"))) == 3
+
+
+def test_built_files():
+    book = xlsx.build([("<S>", True, [["a & b", 1, 2.5, True, None], [xlsx.date(2024, 2, 29)]], ["A1:B1"]), ("T", False, [], [])])
+    sheets, merges, cells = xlsx.parse(book)
+    assert [(s["sheet"], s["visible"]) for s in sheets] == [("<S>", True), ("T", False)] and len(merges) == 1
+    assert [(c["kind"], c["text"]) for c in cells] == [("string", "a & b"), ("int", "1"), ("float", "2.5"), ("bool", "True"), ("datetime", "2024-02-29 00:00:00")]
+    assert [xlsx.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert [t["text"] for t in pptx.parse(pptx.build([(["a", "<b>"], [], None), (["c"], [["d"]], "e")]))] == ["a<b>", "c", "d", "e"]
+
+
 def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main([]) == 0
     assert cli.main(["generate", "-i", str(folder / "book.xlsx"), "-o", str(tmp_path / "s.yaml")]) == 0

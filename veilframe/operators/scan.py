@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.functions.identity import coordinate
-from veilframe.operators.classify import SHEET
+from veilframe.operators.classify import SHEET, visible
 from veilframe.operators.detect import scan_text, value_in
 from veilframe.operators.rules import COLUMNS, PATTERNS, ColumnRule, PatternRule, default_action, match_header
 
@@ -190,3 +190,10 @@ def dedup_rules(rules: DataFrame, ord: str = "ord") -> DataFrame:
     """The first rule of each pattern."""
     nth = F.row_number().over(Window.partitionBy("pattern").orderBy(ord))
     return rules.withColumn("_n", nth).filter("_n = 1").drop("_n")
+
+
+def mark_places(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Per visible sheet the first cell of its first ten rows that isn't blank."""
+    able = cells.filter("row < 10").filter(F.length(F.trim("text")) > 0).join(visible(sheets).select(*SHEET), SHEET)
+    best = able.groupBy(*SHEET).agg(F.min(F.struct("row", "col", "text")).alias("x"))
+    return best.select(*SHEET, "x.row", "x.col", "x.text")

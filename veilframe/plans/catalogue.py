@@ -645,14 +645,7 @@ def _(df):
 @query("watermark_place", SEGMENTS, f"WITH {SEGMENT_CELLS} SELECT sheet, arg_min(text, r * 10 + col) AS text FROM cells WHERE r < 10 AND idx <> 4 AND trim(text) <> '' AND col <> 1 GROUP BY sheet")
 def _(df):
     cells, sheets = segment_sheets(df)
-    return mark_places(cells, sheets).select("sheet", "text")
-
-
-def mark_places(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Per visible sheet the first cell of its first ten rows that isn't blank."""
-    able = cells.filter("row < 10").filter(F.length(F.trim("text")) > 0).join(classify.visible(sheets).select(*classify.SHEET), classify.SHEET)
-    best = able.groupBy(*classify.SHEET).agg(F.min(F.struct("row", "col", "text")).alias("x"))
-    return best.select(*classify.SHEET, "x.row", "x.col", "x.text")
+    return scan.mark_places(cells, sheets).select("sheet", "text")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from veilframe.functions.identity import encode_mark, mark_payload
 from veilframe.operators import apply, classify, headers, scan
 from veilframe.operators.rules import COLUMNS, PATTERNS, ColumnRule, PatternRule, column_rules_df
-from veilframe.plans.catalogue import mark_places
 from veilframe.plans.work import Work
 from veilframe.sources import audit, pptx, strategy, xlsx
-from veilframe.sources.files import documents, exists, log_name, output_name, write_file
+from veilframe.sources.files import documents, exists, log_name, output_name, target_names, write_file
 
 
 @dataclass
@@ -106,8 +105,11 @@ def changes_of(spark: SparkSession, found: Scan, plan: strategy.Strategy | None,
     if plan is None:
         sites, rules = found.sites, column_rules_df(spark, tuple(exact_rules(found)))
     else:
-        files = [r["path"] for r in found.files.select("path").collect()]
-        sites, rules = strategy.sites_frame(spark, plan, files[0] if files else ""), column_rules_df(spark, tuple(plan.column_rules))
+        named = strategy.sites_frame(spark, plan, None)
+        # A site that names no file is one of every file. A strategy is what a person reviews, so it is the small side.
+        everywhere = found.files.select(F.col("path").alias("file")).join(F.broadcast(named.filter("file is null").drop("file")))
+        sites = named.filter("file is not null").unionByName(everywhere)
+        rules = column_rules_df(spark, tuple(plan.column_rules))
     by_rule = apply.of_column_rules(found.cells, found.names, found.spans, rules)
     work = Work(spark, "requests")
     by_rule = work.keep(by_rule, "by-rule")
@@ -133,13 +135,14 @@ def redact(spark: SparkSession, path: str, folder: str, plan: strategy.Strategy
         return counts.select("file", F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(F.lit("dry_run")).alias("status"), "processed", "skipped", "errors", F.lit(None).cast("string").alias("output"), "error")
     edit = F.struct("ord", "sheet", "cell", F.col("location.slide").alias("slide"), "original", "new_text", "redacted")
     edits = done.filter("error is null").groupBy("file").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
-    marks = mark_places(found.cells, found.sheets).select("file", "sheet", scan.coordinate("row", "col").alias("cell"), "text")
+    marks = scan.mark_places(found.cells, found.sheets).select("file", "sheet", scan.coordinate("row", "col").alias("cell"), "text")
     marks = marks.groupBy("file").agg(F.collect_list(F.struct("sheet", "cell", "text")).alias("marks"))
     mark = encode_mark(mark_payload(F.lit(options.operator), F.lit(options.timestamp), F.col("sha256")))
-    rows = found.files.withColumnRenamed("path", "file").withColumn("mark", mark).join(edits, "file", "left").join(marks, "file", "left").join(found.errors, "file", "left")
+    targets = target_names(found.files)
+    rows = found.files.withColumnRenamed("path", "file").join(targets, "file").withColumn("mark", mark).join(edits, "file", "left").join(marks, "file", "left").join(found.errors, "file", "left")
     out = work.keep(rows.mapInPandas(writer(folder, options.force), "file string, status string, output string, error string"), "written")
     logs = audit.audit_rows(names.join(out, "file").select("file", F.col("file").alias("source_path"), F.col("output").alias("output_file"), F.col("sha256").alias("file_hash"), "status").filter("status = 'ok'").drop("status"), done, options.operator, F.lit(options.timestamp))
-    logs.mapInPandas(log_writer(folder), "file string").count()
+    logs.join(targets, "file").mapInPandas(log_writer(folder), "file string").count()
     return counts.drop("error").join(out, "file").select("file", "status", "processed", "skipped", "errors", "output", "error")
 
 
@@ -147,7 +150,7 @@ def writer(folder: str, force: bool):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.to_dict("records"):
-                target, status, error = output_name(r["file"], folder), "ok", r["error"]
+                target, status, error = output_name(r["target"], r["file"].rpartition(".")[2], folder), "ok", r["error"]
                 try:
                     if error is not None:
                         status = "failed"
@@ -179,8 +182,8 @@ def rewritten(r: dict, edits: list) -> bytes:
 def log_writer(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, text in zip(batch["file"], batch["json"], strict=True):
-                write_file(log_name(file, folder), text.encode("utf-8"))
+            for target, text in zip(batch["target"], batch["json"], strict=True):
+                write_file(log_name(target, folder), text.encode("utf-8"))
             yield batch[["file"]]
 
     return write

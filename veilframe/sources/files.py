@@ -62,11 +62,22 @@ def zipped(parts: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-def output_name(path: str, folder: str) -> str:
-    """Where a masked document goes: {stem}_脱敏.{extension}."""
-    stem, _, extension = path.rpartition("/")[2].rpartition(".")
-    return f"{folder.rstrip('/')}/{stem}_脱敏.{extension}"
+def target_names(files: DataFrame) -> DataFrame:
+    """file (of column path) and target, the name of its outputs without what follows the stem.
+
+    Files of one stem, whatever their folder or extension: the first by path has the stem, each other a digest of its path too.
+    """
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    own = files.select(F.col("path").alias("file"), stem.alias("stem"))
+    first = own.groupBy("stem").agg(F.min("file").alias("first"))
+    digest = F.concat_ws("_", "stem", F.left(F.sha2("file", 256), F.lit(12)))
+    return own.join(first, "stem").select("file", F.when(F.col("file") == F.col("first"), F.col("stem")).otherwise(digest).alias("target"))
+
+
+def output_name(target: str, extension: str, folder: str) -> str:
+    """Where a masked document goes: {target}_脱敏.{extension}."""
+    return f"{folder.rstrip('/')}/{target}_脱敏.{extension}"
 
 
-def log_name(path: str, folder: str) -> str:
-    return f"{folder.rstrip('/')}/{path.rpartition('/')[2].rpartition('.')[0]}_日志.json"
+def log_name(target: str, folder: str) -> str:
+    return f"{folder.rstrip('/')}/{target}_日志.json"

@@ -123,3 +123,17 @@ def edit(content: bytes, edits: list[tuple[int, str, str]], mark: str = "") -> b
             parts[name] = (xml[: found.end(2)] + escape(mark) + xml[found.end(2) :]).encode("utf-8")
             break
     return zipped(parts)
+
+
+def build(slides: list[tuple[list[str], list[list[str]], str | None]]) -> bytes:
+    """A deck of (runs of the title, rows of a table, notes), one for each slide."""
+    spaces, parts = f'xmlns:a="{A[1:-1]}" xmlns:p="{P[1:-1]}"', {}
+    run = lambda t: f"<a:r><a:t>{escape(t)}</a:t></a:r>"
+    for n, (title, rows, notes) in enumerate(slides, 1):
+        table = "".join("<a:tr>" + "".join(f"<a:tc><a:txBody><a:p>{run(v)}</a:p></a:txBody></a:tc>" for v in row) + "</a:tr>" for row in rows)
+        box = f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="Title"/></p:nvSpPr><p:txBody><a:p>{"".join(map(run, title))}</a:p></p:txBody></p:sp>'
+        frame = f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="3" name="Table"/></p:nvGraphicFramePr><a:tbl>{table}</a:tbl></p:graphicFrame>'
+        parts[f"ppt/slides/slide{n}.xml"] = f"<p:sld {spaces}>{box}{frame if rows else ''}</p:sld>"
+        if notes is not None:
+            parts[f"ppt/notesSlides/notesSlide{n}.xml"] = f"<p:notes {spaces}><p:sp><p:txBody><a:p>{run(notes)}</a:p></p:txBody></p:sp></p:notes>"
+    return zipped({k: v.encode("utf-8") for k, v in parts.items()})

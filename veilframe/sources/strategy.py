@@ -75,8 +75,8 @@ def dump(strategy: Strategy) -> str:
     return "\n".join(lines) + "\n"
 
 
-def sites_frame(spark: SparkSession, strategy: Strategy, file: str) -> DataFrame:
-    """The sites as a DataFrame; those that don't name a file are the given file's."""
+def sites_frame(spark: SparkSession, strategy: Strategy, file: str | None) -> DataFrame:
+    """The sites as a DataFrame; those that don't name a file are the given file's (None: of no file)."""
     rows = [(s.get("file") or file, i, s["site_id"], tuple(s["location"].get(k) for k in PLACE), s["original_value"], s["detected_type"], s["discovered_by"], s["enabled"], s["action"], json.dumps(s["params"], ensure_ascii=False) if s["params"] else None, s.get("redacted_value")) for i, s in enumerate(strategy.sites)]
     return spark.createDataFrame(rows, SITES)
 

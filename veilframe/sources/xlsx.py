@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 from posixpath import join, normpath
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape, unescape
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -187,10 +187,48 @@ def edit(content: bytes, edits: dict[tuple[str, str], str]) -> bytes:
     return zipped(parts)
 
 
+def build(sheets: list[tuple[str, bool, list[list], list[str]]]) -> bytes:
+    """A workbook of (name, visible, rows of values, merged ranges): texts are shared strings, days are styled numbers."""
+    shared: dict[str, int] = {}
+
+    def cell(ref: str, v) -> str:
+        if v is None:
+            return ""
+        if isinstance(v, str):
+            return f'<c r="{ref}" t="s"><v>{shared.setdefault(v, len(shared))}</v></c>'
+        if isinstance(v, bool):
+            return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, date):
+            return f'<c r="{ref}" s="1"><v>{(v - date(1899, 12, 30)).days}</v></c>'
+        return f'<c r="{ref}"><v>{v!r}</v></c>'
+
+    spaces = f'xmlns="{MAIN[1:-1]}" xmlns:r="{REL[1:-1]}"'
+    parts, names, targets = {}, "", ""
+    for i, (name, shown, rows, merges) in enumerate(sheets, 1):
+        body = "".join(f'<row r="{r}">' + "".join(cell(f"{column_name(c)}{r}", v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+        ranges = "".join(f'<mergeCell ref="{m}"/>' for m in merges)
+        parts[f"xl/worksheets/sheet{i}.xml"] = f"<worksheet {spaces}><sheetData>{body}</sheetData>" + (f"<mergeCells>{ranges}</mergeCells>" if ranges else "") + "</worksheet>"
+        names += f'<sheet name="{escape(name)}" sheetId="{i}" r:id="rId{i}"' + ("/>" if shown else ' state="hidden"/>')
+        targets += f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>'
+    parts["xl/workbook.xml"] = f"<workbook {spaces}><sheets>{names}</sheets></workbook>"
+    parts["xl/_rels/workbook.xml.rels"] = f"<Relationships>{targets}</Relationships>"
+    parts["xl/styles.xml"] = f'<styleSheet {spaces}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+    parts["xl/sharedStrings.xml"] = f"<sst {spaces}>" + "".join(f'<si><t xml:space="preserve">{escape(x)}</t></si>' for x in shared) + "</sst>"
+    return zipped({k: v.encode("utf-8") for k, v in parts.items()})
+
+
+def column_name(i: int) -> str:
+    out, i = "", i + 1
+    while i:
+        i, last = divmod(i - 1, 26)
+        out = chr(65 + last) + out
+    return out
+
+
 def text_in(content: bytes, sheet: str, cell: str) -> str | None:
     """One cell's text."""
     row, col = place_of(cell)
     return next((c["text"] for c in parse(content)[2] if (c["sheet"], c["row"], c["col"]) == (sheet, row, col)), None)
 
 
-__all__ = ["cell_xml", "edit", "float_text", "parse", "read", "serial_text", "tables", "text_in", "unescape"]
+__all__ = ["build", "cell_xml", "edit", "float_text", "parse", "read", "serial_text", "tables", "text_in"]
