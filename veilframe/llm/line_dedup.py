@@ -22,6 +22,7 @@ clash.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ WIDTH, PERCENT = 9, 80
 MINIMA = 12
 #: The triples {i, i + 1, i + 4} and {i, i + 2, i + 7} modulo 13, of which any two share one number, without those of 12.
 BANDS = [b for i in range(MINIMA + 1) for b in (sorted((i + s) % (MINIMA + 1) for s in t) for t in ((0, 1, 4), (0, 2, 7))) if MINIMA not in b]
+#: Bands whose keys are shuffled in one pass; a matter of disk alone.
+BANDS_AT_ONCE = 5
 #: Spread evenly over 64 bits, so that they meet different hashes also of small sets.
 NUMBERS = [((i << 64) // MINIMA + random.Random(20 + i).getrandbits(58)) - (1 << 63) for i in range(MINIMA)]
 #: Lines up to which a selection of them is broadcast (at most 80 bytes each); beyond, it is joined by shuffle.
@@ -65,14 +68,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def band_keys(classes: DataFrame, work: Workspace) -> DataFrame:
-    """(key, node) of the classes that aren't alone under a key."""
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in band]) for b, band in enumerate(BANDS)])
-    keys = classes.filter("m0 is not null").select("node", F.explode(bands).alias("key"))
-    lists = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("members > 1")
-    lists = work.keep(lists, "band-lists")
-    two = lists.filter("members = 2").select("key", F.explode(F.array("a", "b")).alias("node"))
-    more = keys.join(lists.filter("members > 2").select("key"), "key", "left_semi")
-    return work.keep(two.unionByName(more), "band-keys")
+    """(key, node) of the classes that aren't alone under a key; a few bands at a time, so that shuffles stay small."""
+    signed, numbered, parts = classes.filter("m0 is not null"), list(enumerate(BANDS)), []
+    for i in range(0, len(BANDS), BANDS_AT_ONCE):
+        bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in band]) for b, band in numbered[i : i + BANDS_AT_ONCE]])
+        keys = signed.select("node", F.explode(bands).alias("key"))
+        lists = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("members > 1")
+        lists = work.keep(lists, f"band-lists-{i}")
+        work.release()
+        two = lists.filter("members = 2").select("key", F.explode(F.array("a", "b")).alias("node"))
+        more = keys.join(lists.filter("members > 2").select("key"), "key", "left_semi")
+        parts.append(work.keep(two.unionByName(more), f"band-keys-{i}"))
+        work.drop(f"band-lists-{i}")
+        work.release()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bodies(docs: DataFrame, chosen: DataFrame, work: Workspace) -> DataFrame:
@@ -127,7 +136,7 @@ def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
     work.release()
     sets = bodies(docs, chosen, work)
     keys = work.keep(keys.join(sets.select("node", "n", "copies", F.col("n").alias("useful")), "node"), "keys")
-    for done in ("band-lists", "band-keys", "chosen"):
+    for done in (*(f"band-keys-{i}" for i in range(0, len(BANDS), BANDS_AT_ONCE)), "chosen"):
         work.drop(done)
     work.release()
 
