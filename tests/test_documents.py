@@ -162,3 +162,21 @@ def test_strategies_are_checked():
         strategy.load("sites: [{site_id: a, location: {type: ppt, slide: 1, shape_id: x}, action: burn}]")
     made = strategy.load("sites: [{site_id: a, location: {sheet: s, cell: A1}, original_value: '5'}]")
     assert made.sites[0]["enabled"] and made.sites[0]["action"] == "mask" and made.version == "1.0"
+
+
+def test_deck_edits_stay_at_their_places(spark, tmp_path):
+    """The title's amount is part of the account in the table, which is masked as a whole."""
+    (tmp_path / "in").mkdir()
+    slides = [(["合同 200", "00000 元"], [["联系人", "账号", "说明"], ["李四", "6222000000000800", "20000000"]], "备注 20000000")]
+    (tmp_path / "in" / "d.pptx").write_bytes(pptx.build(slides))
+    redact(spark, str(tmp_path / "in"), str(tmp_path / "out"), None, Options(operator="me", timestamp="2024-01-01T00:00:00")).collect()
+    texts = [t["text"].replace("\u200b", "").replace("\u200c", "") for t in pptx.parse((tmp_path / "out" / "d_脱敏.pptx").read_bytes())]
+    assert texts == ["合同 20.00百万元 元", "联系人", "账号", "说明", "李*", "622*********0800", "20.00百万元", "备注 20.00百万元"]
+
+
+def test_deck_edits_of_one_place():
+    xml = "<p:sp><p:nvSpPr><p:cNvPr id='1' name='a &amp; &#x4E00;'/></p:nvSpPr><a:p><a:r><a:t>1 2</a:t></a:r></a:p></p:sp><p:graphicFrame><p:cNvPr descr='d' name=\"b\"/><a:tr h='1'><a:tc/><a:tc><a:tcPr/><a:t>1</a:t></a:tc></a:tr><a:tr><a:tc><a:t>1</a:t></a:tc></a:tr></p:graphicFrame>"
+    assert pptx.replace_at(xml, "a & 一", None, "1", "x") == xml.replace("1 2", "x 2")
+    assert pptx.replace_at(xml, "b", "R1C2", "1", "x") == xml.replace("<a:tcPr/><a:t>1", "<a:tcPr/><a:t>x")
+    assert pptx.replace_at(xml, "b", "R2C1", "1", "x") == xml.replace("<a:tc><a:t>1", "<a:tc><a:t>x")
+    assert pptx.replace_at(xml, "c", None, "1", "x") == xml == pptx.replace_at(xml, "b", "R3C1", "1", "x")

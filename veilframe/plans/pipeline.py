@@ -133,7 +133,7 @@ def redact(spark: SparkSession, path: str, folder: str, plan: strategy.Strategy
     counts = names.join(report, "file", "left").join(found.errors, "file", "left").na.fill(0, ["processed", "skipped", "errors"])
     if options.dry_run:
         return counts.select("file", F.when(F.col("error").isNotNull(), F.lit("failed")).otherwise(F.lit("dry_run")).alias("status"), "processed", "skipped", "errors", F.lit(None).cast("string").alias("output"), "error")
-    edit = F.struct("ord", "sheet", "cell", F.col("location.slide").alias("slide"), "original", "new_text", "redacted")
+    edit = F.struct("ord", "sheet", "cell", F.col("location.slide").alias("slide"), "original", "new_text", "redacted", F.col("location.shape_id").alias("shape"), F.col("location.table_location").alias("place"))
     edits = done.filter("error is null").groupBy("file").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
     marks = scan.mark_places(found.cells, found.sheets).select("file", "sheet", scan.coordinate("row", "col").alias("cell"), "text")
     marks = marks.groupBy("file").agg(F.collect_list(F.struct("sheet", "cell", "text")).alias("marks"))
@@ -169,7 +169,7 @@ def writer(folder: str, force: bool):
 def rewritten(r: dict, edits: list) -> bytes:
     """A document with its edits and its mark."""
     if r["extension"] == "pptx":
-        return pptx.edit(r["content"], [(int(e["slide"]), e["original"], e["redacted"]) for e in edits], r["mark"])
+        return pptx.edit(r["content"], [(int(e["slide"]), e["original"], e["redacted"], e["shape"], e["place"]) for e in edits], r["mark"])
     if r["extension"] != "xlsx":
         raise ValueError(f"not a workbook or deck: {r['file']}")
     cells = {(e["sheet"], e["cell"]): e["new_text"] for e in edits}
