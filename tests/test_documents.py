@@ -3,11 +3,12 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe import cli
 from veilframe.operators.rules import RuleError
 from veilframe.plans.pipeline import Options, generate, redact
-from veilframe.sources import files, pptx, strategy, xlsx
+from veilframe.sources import audit, files, pptx, strategy, xlsx
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
@@ -180,3 +181,19 @@ def test_deck_edits_of_one_place():
     assert pptx.replace_at(xml, "b", "R1C2", "1", "x") == xml.replace("<a:tcPr/><a:t>1", "<a:tcPr/><a:t>x")
     assert pptx.replace_at(xml, "b", "R2C1", "1", "x") == xml.replace("<a:tc><a:t>1", "<a:tc><a:t>x")
     assert pptx.replace_at(xml, "c", None, "1", "x") == xml == pptx.replace_at(xml, "b", "R3C1", "1", "x")
+
+
+def test_audit_logs_in_pieces(spark):
+    n = 2 * audit.ENTRIES + 3
+    rows = [(f"/in/{k}.xlsx", i, f"s{i}", {"type": "excel", "sheet": "S", "cell": "A1"}, 'a "b"', None if i % 5 == 0 else "*", "mask", "bad" if i % 5 == 0 else None) for k in "ab" for i in range(n)]
+    done = spark.createDataFrame(rows, "file string, ord long, site_id string, location struct<type:string,sheet:string,cell:string,column:string>, original string, redacted string, action string, error string")
+    logs = spark.createDataFrame([(f"/in/{k}.xlsx", "p", "o", "00") for k in "ac"], "file string, source_path string, output_file string, file_hash string")
+    parts = audit.audit_parts(logs, done, "op", F.lit("t")).collect()
+    texts = {f: json.loads("".join(r.text for r in sorted(parts, key=lambda r: (r.section, r.part)) if r.file == f)) for f in {r.file for r in parts}}
+    assert set(texts) == {"/in/a.xlsx", "/in/c.xlsx"} and max(r.text.count("site_id") for r in parts) == audit.ENTRIES
+    log = texts["/in/a.xlsx"]
+    assert list(log) == ["file", "source_path", "output_file", "operator", "timestamp", "file_hash", "total_changes", "total_errors", "changes", "errors"]
+    assert [x["site_id"] for x in log["changes"]] == [f"s{i}" for i in range(n) if i % 5] and log["total_changes"] == len(log["changes"])
+    assert [x["site_id"] for x in log["errors"]] == [f"s{i}" for i in range(0, n, 5)] and log["total_errors"] == len(log["errors"])
+    assert log["changes"][0] == {"site_id": "s1", "location": {"type": "excel", "sheet": "S", "cell": "A1"}, "original": 'a "b"', "redacted": "*", "action": "mask"}
+    assert texts["/in/c.xlsx"]["total_changes"] == 0 and texts["/in/c.xlsx"]["changes"] == texts["/in/c.xlsx"]["errors"] == []

@@ -6,6 +6,7 @@ import getpass
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from veilframe.operators import apply, classify, headers, scan
 from veilframe.operators.rules import COLUMNS, PATTERNS, ColumnRule, PatternRule, column_rules_df
 from veilframe.plans.work import Work
 from veilframe.sources import audit, pptx, strategy, xlsx
-from veilframe.sources.files import documents, exists, log_name, output_name, target_names, write_file
+from veilframe.sources.files import documents, exists, log_name, output_name, target_names, write_file, write_pieces
 
 
 @dataclass
@@ -141,8 +142,8 @@ def redact(spark: SparkSession, path: str, folder: str, plan: strategy.Strategy
     targets = target_names(found.files)
     rows = found.files.withColumnRenamed("path", "file").join(targets, "file").withColumn("mark", mark).join(edits, "file", "left").join(marks, "file", "left").join(found.errors, "file", "left")
     out = work.keep(rows.mapInPandas(writer(folder, options.force), "file string, status string, output string, error string"), "written")
-    logs = audit.audit_rows(names.join(out, "file").select("file", F.col("file").alias("source_path"), F.col("output").alias("output_file"), F.col("sha256").alias("file_hash"), "status").filter("status = 'ok'").drop("status"), done, options.operator, F.lit(options.timestamp))
-    logs.join(targets, "file").mapInPandas(log_writer(folder), "file string").count()
+    logs = audit.audit_parts(names.join(out, "file").select("file", F.col("file").alias("source_path"), F.col("output").alias("output_file"), F.col("sha256").alias("file_hash"), "status").filter("status = 'ok'").drop("status"), done, options.operator, F.lit(options.timestamp))
+    logs.join(targets, "file").repartition("file").sortWithinPartitions("file", "section", "part").select("file", "target", "text").mapInPandas(log_writer(folder), "file string").count()
     return counts.drop("error").join(out, "file").select("file", "status", "processed", "skipped", "errors", "output", "error")
 
 
@@ -181,9 +182,9 @@ def rewritten(r: dict, edits: list) -> bytes:
 
 def log_writer(folder: str):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for target, text in zip(batch["target"], batch["json"], strict=True):
-                write_file(log_name(target, folder), text.encode("utf-8"))
-            yield batch[["file"]]
+        pieces = (x for batch in batches for x in zip(batch["file"], batch["target"], batch["text"], strict=True))
+        for (file, target), own in groupby(pieces, lambda x: x[:2]):
+            write_pieces(log_name(target, folder), (text.encode("utf-8") for *_, text in own))
+            yield pd.DataFrame({"file": [file]})
 
     return write

@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators.alias import numbered
 
-def audit_rows(files: DataFrame, done: DataFrame, operator: str, timestamp: Column) -> DataFrame:
-    """file and json. files: file, source_path, output_file, file_hash; done: changes and errors with file and ord.
+#: Entries of a piece of a log.
+ENTRIES = 50
+#: Sections of a log, in their order.
+HEAD, CHANGES, MIDDLE, ERRORS, TAIL = range(5)
 
-    A log is one document of one file, so its entries are gathered by file.
+
+def audit_parts(files: DataFrame, done: DataFrame, operator: str, timestamp: Column) -> DataFrame:
+    """file, section, part, text: a file's texts, joined in the order of section and part, are its log.
+
+    files: file, source_path, output_file, file_hash; done: changes and errors with file and ord. A log may be larger
+    than a task's memory, so its entries are numbered by distributed ranks and gathered by so many at a time.
     """
-    change = F.when(F.col("error").isNull(), F.struct("ord", F.struct("site_id", "location", "original", "redacted", "action").alias("x")))
-    problem = F.when(F.col("error").isNotNull(), F.struct("ord", F.struct("site_id", "error", timestamp.alias("timestamp")).alias("x")))
-    entries = done.groupBy("file").agg(F.sort_array(F.collect_list(change)).alias("c"), F.sort_array(F.collect_list(problem)).alias("e"))
-    joined = files.join(entries, "file", "left")
-    empty = lambda c: F.coalesce(F.size(c), F.lit(0))
-    log = F.struct(
+    failed = F.col("error").isNotNull()
+    text = F.when(failed, F.to_json(F.struct("site_id", "error", timestamp.alias("timestamp")))).otherwise(F.to_json(F.struct("site_id", "location", "original", "redacted", "action")))
+    entries = done.join(files.select("file"), "file", "left_semi")
+    entries = entries.select(F.col("file").alias("group"), text.alias("value"), F.when(failed, ERRORS).otherwise(CHANGES).alias("prefix"), F.col("ord").cast("bigint").alias("ord"))
+    pieces = numbered(entries).withColumn("part", F.floor((F.col("nth") - 1) / ENTRIES)).groupBy(F.col("group").alias("file"), F.col("prefix").alias("section"), "part")
+    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "value"))), lambda x: x["value"]), ",")
+    pieces = pieces.agg(own.alias("text")).withColumn("text", F.when(F.col("part") > 0, F.concat(F.lit(","), "text")).otherwise(F.col("text")))
+    counts = done.groupBy("file").agg(F.count_if(~failed).alias("total_changes"), F.count_if(failed).alias("total_errors"))
+    top = F.struct(
         F.regexp_extract("file", "([^/]*)$", 1).alias("file"), "source_path", "output_file", F.lit(operator).alias("operator"), timestamp.alias("timestamp"), "file_hash",
-        empty(F.col("c")).alias("total_changes"), empty(F.col("e")).alias("total_errors"),
-        F.transform("c", lambda x: x["x"]).alias("changes"), F.transform("e", lambda x: x["x"]).alias("errors"),
+        F.coalesce("total_changes", F.lit(0)).alias("total_changes"), F.coalesce("total_errors", F.lit(0)).alias("total_errors"),
     )
-    return joined.select("file", F.to_json(log).alias("json"))
+    frame = F.array(*[F.struct(F.lit(k).alias("section"), t.alias("text")) for k, t in ((HEAD, F.concat(F.regexp_replace(F.to_json(top), r"\}$", ""), F.lit(',"changes":['))), (MIDDLE, F.lit('],"errors":[')), (TAIL, F.lit("]}")))])
+    frames = files.join(counts, "file", "left").select("file", F.explode(frame).alias("x")).select("file", "x.section", F.lit(0).cast("bigint").alias("part"), "x.text")
+    return frames.unionByName(pieces)
 
 
 def location_json(place: Column) -> Column:

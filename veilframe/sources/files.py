@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterable
 from urllib.parse import urlsplit
 
 from pyarrow import fs
@@ -40,11 +41,16 @@ def exists(path: str) -> bool:
 
 
 def write_file(path: str, content: bytes) -> None:
+    write_pieces(path, [content])
+
+
+def write_pieces(path: str, pieces: Iterable[bytes]) -> None:
     """Write under another name first, so that a file is there whole or not at all."""
     files, inner = store(path)
     files.create_dir(inner.rpartition("/")[0], recursive=True)
     with files.open_output_stream(inner + ".part", compression=None) as out:
-        out.write(content)
+        for content in pieces:
+            out.write(content)
     files.move(inner + ".part", inner)
 
 
