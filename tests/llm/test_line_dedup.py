@@ -118,3 +118,20 @@ def test_prefix_pairs_lose_no_link(spark):
     assert links and links <= found
     assert len(found) < len(pairs) / 2  # the common passage alone proposes nothing
     work.drop()
+
+
+def test_prefixes_are_built_in_shares(spark, monkeypatch):
+    """No shuffle holds the windows of more than a share of the sets, and each share's shuffles are let go of."""
+    work, steps = Workspace(spark, "shares-test"), []
+    keep, release = work.keep, work.release
+    monkeypatch.setattr(work, "keep", lambda df, label, **o: steps.append(label) or keep(df, label, **o))
+    monkeypatch.setattr(work, "release", lambda: steps.append("release") or release())
+    lines = [f"{i // 2:05d} the same words in each {'x' * (i % 2)} {i // 2:05d}" for i in range(40)]
+    bodies = spark.createDataFrame([(i, len(windows(x)), x) for i, x in enumerate(lines)], "node long, n long, body string")
+    few = spark.createDataFrame([(i, len(windows(x)), i, 1) for i, x in enumerate(lines)], "node long, n long, root long, least_n long")
+    line_dedup.prefix_pairs(few, bodies, work).collect()
+    shares = [f"prefixes-{i}" for i in range(line_dedup.SHARES)]
+    assert steps[-2 * len(shares) :] == [x for label in shares for x in (label, "release")]
+    own = [{r.node for r in spark.read.parquet(work.path(label)).select("node").collect()} for label in shares]
+    assert all(own) and sum(map(len, own)) == len(set().union(*own)) and max(map(len, own)) <= len(lines) / line_dedup.SHARES
+    work.drop()

@@ -194,11 +194,17 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     lists = keys.groupBy("key").agg(F.count("*").alias("members"), best.alias("pivot")).filter("members > 1")
     lists = work.keep(lists.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.useful").alias("pivot_useful"), "members"), "lists")
     member = work.keep(keys.join(lists, "key"), "members")
+    work.drop("lists")
+    work.release()
     scale = 100 + measure.percent
     need = (F.col("n") + F.col("pivot_n")) * measure.percent
     fits = (F.least("useful", "pivot_useful", "n", "pivot_n") * scale >= need) & (F.col("node") != F.col("pivot"))
     spokes = member.filter(fits).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    first = verify(work.keep(spokes, "spoke-pairs"), sets, measure, work, "spokes", tokens)
+    spokes = work.keep(spokes, "spoke-pairs")
+    work.release()
+    first = verify(spokes, sets, measure, work, "spokes", tokens)
+    work.drop("spoke-pairs")
+    work.release()
     roots = components(first.filter("linked").select("a", "b"), work, "roots")
     roots = work.keep(roots, "first-roots")
 
@@ -216,6 +222,8 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     mixed = row.groupBy("key").agg(F.count_if("outside").alias("strays"), F.min("n").alias("least_n")).filter("strays > 0").select("key", "least_n")
     # A stray links with nothing of its list if even the smallest member is too large for its bound.
     row = work.keep(row.join(mixed, "key").filter((F.col("node") != F.col("pivot")) & (F.col("useful") * scale >= (F.col("n") + F.col("least_n")) * measure.percent)), "mixed")
+    work.drop("members")
+    work.release()
     if indexed is not None:
         pairs = indexed(row.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least_n").alias("least_n")))
     else:
@@ -233,6 +241,7 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & possible(measure, "x", "y") & bound)
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     pairs = work.keep(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    work.release()
     second = verify(pairs, sets, measure, work, "checked", tokens)
     if second.filter("linked").isEmpty():
         return roots

@@ -36,6 +36,8 @@ MINIMA = 12
 BANDS = [b for i in range(MINIMA + 1) for b in (sorted((i + s) % (MINIMA + 1) for s in t) for t in ((0, 1, 4), (0, 2, 7))) if MINIMA not in b]
 #: Bands whose keys are shuffled in one pass; a matter of disk alone.
 BANDS_AT_ONCE = 5
+#: Shares of the sets whose windows are shuffled one after the other; a matter of disk alone.
+SHARES = 4
 #: Spread evenly over 64 bits, so that they meet different hashes also of small sets.
 NUMBERS = [((i << 64) // MINIMA + random.Random(20 + i).getrandbits(58)) - (1 << 63) for i in range(MINIMA)]
 #: Lines up to which a selection of them is broadcast (at most 80 bytes each); beyond, it is joined by shuffle.
@@ -104,15 +106,24 @@ def prefix_pairs(few: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     have their first common window in both prefixes, and no more in common than what follows it.
     """
     measure, scale = Measure(PERCENT), 100 + PERCENT
+    few = work.keep(few, "few")
+    work.release()
     own = sets.join(few.select("node"), "node", "left_semi").select("node", F.explode(F.array_distinct(windows(F.col("body")))).alias("token"))
     common = work.keep(own.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1"), "common")
-    ordered = own.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("tokens"))
-    ordered = ordered.join(few, "node").withColumn("useful", F.size("tokens").cast("long"))
-    ordered = ordered.filter(F.col("useful") * scale >= (F.col("n") + F.greatest("least_n", F.col("n") * PERCENT / 100)) * PERCENT)
+    work.release()
     least = F.floor((F.col("n") * PERCENT + 99) / 100)
-    prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.col("useful") - least + 1).cast("int"))
-    placed = ordered.select("node", "n", "root", "useful", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("at", "token"))
-    placed = work.keep(placed.select("node", "n", "root", "token", (F.col("useful") - F.col("at")).alias("room")), "prefixes")
+    parts = []
+    for i in range(SHARES):
+        share = F.pmod("node", F.lit(SHARES)) == i
+        ordered = own.filter(share).join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("tokens"))
+        ordered = ordered.join(few.filter(share), "node").withColumn("useful", F.size("tokens").cast("long"))
+        ordered = ordered.filter(F.col("useful") * scale >= (F.col("n") + F.greatest("least_n", F.col("n") * PERCENT / 100)) * PERCENT)
+        prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.col("useful") - least + 1).cast("int"))
+        placed = ordered.select("node", "n", "root", "useful", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("at", "token"))
+        parts.append(work.keep(placed.select("node", "n", "root", "token", (F.col("useful") - F.col("at")).alias("room")), f"prefixes-{i}"))
+        work.release()
+    work.drop("common")
+    placed = reduce(DataFrame.unionByName, parts)
     x, y = placed.alias("x"), placed.alias("y")
     need = measure.pair_overlap(F.col("x.n"), F.col("y.n"))
     fits = F.least("x.room", "y.room", "x.n", "y.n") * scale >= need
