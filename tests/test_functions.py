@@ -112,3 +112,9 @@ def test_functions_by_name(spark):
     df = spark.createDataFrame([("张三", "1,234")], "n string, a string")
     register.view(df, "people", masked=("mask_name", "n"), amount=("parse_amount", "a"))
     assert spark.sql("SELECT masked, amount FROM people").first() == ("张*", 1234.0)
+
+
+def test_large_amounts_keep_their_digits(spark):
+    """A double near 9.1e14 is written as it is, by eighths, not by its shortest text."""
+    table(spark, [("909955422195631329054", "909955422195631.38百万元"), ("-909955422195631329054", "-909955422195631.38百万元"), ("12345678", "12.35百万元")], amount.precision("v"))
+    table(spark, [("9007199254740993", "9,007,199,254,740,992.00"), ("99999999999999.99", "99,999,999,999,999.98")], amount.perturb("v", 0))

@@ -78,12 +78,22 @@ def round_half_up(x: Column, places: int | Column) -> Column:
     """Halves away from zero, on the double times a power of ten."""
     f = F.pow(F.lit(10.0), places) if isinstance(places, Column) else F.lit(float(10**places))
     y = x * f
-    return F.when(F.abs(y) < 9e15, F.when(y >= 0, F.floor(y + 0.5)).otherwise(F.ceil(y - 0.5)).cast("double") / f).otherwise(x)
+    return F.when(F.abs(y) < 9e18, F.when(y >= 0, F.floor(y + 0.5)).otherwise(F.ceil(y - 0.5)).cast("double") / f).otherwise(x)
 
 
 def format_amount(x: Column, places: int | Column = 2) -> Column:
     """With thousands separators; minus zero as zero."""
-    return F.call_function("format_number", round_half_up(x, places) + F.lit(0.0), places if isinstance(places, Column) else F.lit(places))
+    n = places if isinstance(places, Column) else F.lit(places)
+    x = round_half_up(x, places) + F.lit(0.0)
+    short = F.call_function("format_number", x, n)
+    # Large doubles have more digits than their shortest text: whole and fraction are written apart, as they are.
+    size, f = F.abs(x), F.pow(F.lit(10.0), n)
+    whole = F.when((size * f >= 2.0**52) & (size < 9e18) & (n <= 15), F.floor(size))
+    part = F.rint((size - whole) * f).cast("bigint")
+    carry = part >= f
+    digits = F.lpad(F.when(carry, F.lit(0)).otherwise(part).cast("string"), n, "0")
+    exact = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.call_function("format_number", whole + carry.cast("bigint"), F.lit(0)), F.when(n > 0, F.concat(F.lit("."), digits)).otherwise(F.lit("")))
+    return F.coalesce(exact, short)
 
 
 def precision(value: Column | str, unit: str | Column = "million", places: int | Column = 2) -> Column:
