@@ -135,3 +135,32 @@ def test_prefixes_are_built_in_shares(spark, monkeypatch):
     own = [{r.node for r in spark.read.parquet(work.path(label)).select("node").collect()} for label in shares]
     assert all(own) and sum(map(len, own)) == len(set().union(*own)) and max(map(len, own)) <= len(lines) / line_dedup.SHARES
     work.drop()
+
+
+def test_pairs_of_lists_need_no_prefixes(spark, monkeypatch):
+    """Members of short lists are paired by their maps, with no link lost; only those of longer lists go by prefixes."""
+    rng = random.Random(10)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(60))  # a passage that all lines hold
+    lines = ["=" * 12, "=" * 40, "\u00e9" * 30, "\u00e9" * 90]
+    for _ in range(10):
+        own = "".join(rng.choice("abcdefgh \u00e9\u4e2d") for _ in range(rng.choice([40, 200, 3000])))
+        for _ in range(4):
+            at = rng.randrange(len(own))
+            lines.append(common + own[:at] + rng.choice("xyz") + own[at + rng.choice([0, 1, 1, 3]) :])
+    lines = sorted(set(lines))
+    sets = [windows(x) for x in lines]
+    work = Workspace(spark, "lists-test")
+    bodies = spark.createDataFrame([(i, len(sets[i]), x) for i, x in enumerate(lines)], "node long, n long, body string")
+    row = spark.createDataFrame([(k, i, len(s), i, k == 1, 1) for k in (1, 2) for i, s in enumerate(sets)], "key long, node long, n long, root long, outside boolean, least_n long")
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j)]
+    links = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= line_dedup.PERCENT * len(sets[i] | sets[j])}
+    asked = []
+    by_prefix = line_dedup.prefix_pairs
+    monkeypatch.setattr(line_dedup, "prefix_pairs", lambda few, *rest: asked.append(few.count()) or by_prefix(few, *rest))
+    for limit, want in ((line_dedup.PAIRED, []), (0, [len(lines)])):
+        monkeypatch.setattr(line_dedup, "PAIRED", limit)
+        found = {(r.a, r.b) for r in line_dedup.list_pairs(row, bodies, work).collect()}
+        assert links and links <= found
+        assert len(found) < len(pairs) / 2
+        assert asked == want
+    work.drop()

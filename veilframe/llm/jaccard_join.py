@@ -188,7 +188,8 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     keys: key, node, n, copies, useful (the tokens of a set that others of its lists may hold; n is always right), and
     room where it is known (the most that a set can share with one whose first common key this is).
     sets: node, n, body. indexed, where keys alone don't tell enough of a pair: (a, b) of all that may link of different
-    roots, from the members (node, n, root, least_n: no partner is smaller) of the lists that hold several components.
+    roots, from the members (key, node, n, root, outside: of another component than the pivot's, least_n: no partner is
+    smaller) of the lists that hold several components.
     """
     best = F.max(F.struct((F.col("useful") / F.col("n")).alias("share"), "copies", "n", "useful", "node"))
     lists = keys.groupBy("key").agg(F.count("*").alias("members"), best.alias("pivot")).filter("members > 1")
@@ -225,7 +226,7 @@ def linked_classes(keys: DataFrame, sets: DataFrame, measure: Measure, work: Wor
     work.drop("members")
     work.release()
     if indexed is not None:
-        pairs = indexed(row.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least_n").alias("least_n")))
+        pairs = indexed(row)
     else:
         seen = known.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "overlap")
         row = work.keep(row.join(seen, ["node", "pivot"], "left"), "bounded")

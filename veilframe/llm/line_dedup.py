@@ -38,6 +38,12 @@ BANDS = [b for i in range(MINIMA + 1) for b in (sorted((i + s) % (MINIMA + 1) fo
 BANDS_AT_ONCE = 5
 #: Shares of the sets whose windows are shuffled one after the other; a matter of disk alone.
 SHARES = 4
+#: Windows that are hashed in one row; a matter of time alone.
+BLOCK = 4
+#: Bits of the map of a set's windows, by which pairs of a list are told apart; a matter of time alone.
+MAP_BITS = 2048
+#: A list of at most so many pairs of members is paired with itself; longer ones go by prefixes.
+PAIRED = 250_000
 #: Spread evenly over 64 bits, so that they meet different hashes also of small sets.
 NUMBERS = [((i << 64) // MINIMA + random.Random(20 + i).getrandbits(58)) - (1 << 63) for i in range(MINIMA)]
 #: Lines up to which a selection of them is broadcast (at most 80 bytes each); beyond, it is joined by shuffle.
@@ -53,47 +59,72 @@ def windows(line: Column) -> Column:
     return F.element_at(F.transform(code, lambda c: F.transform(at(c), lambda i: F.xxhash64(F.substring(c, i, F.lit(wide))))), 1)
 
 
+def as_compared(raw: str) -> Column:
+    return F.lower(F.btrim(raw, F.lit(" \t\r")))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line (as compared), k1, k2 of every line."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", F.lower(F.btrim("raw", F.lit(" \t\r"))).alias("line"))
+    lines = lines.select("doc_id", "line_no", as_compared("raw").alias("line"))
     return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
+def hashed_windows(lines: DataFrame, *columns: str) -> DataFrame:
+    """The columns and, for every BLOCK windows of the column line, their hashes h0, h1, ...; the last ones may repeat."""
+    wide = 4 * WIDTH  # characters of four bytes each, so that a window is found by its place
+    coded = lines.filter(F.length("line") >= WIDTH).select(*columns, F.encode("line", "UTF-32").alias("code")).withColumn("last", F.octet_length("code") - (wide - 1))
+    blocks = coded.select(*columns, "code", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * BLOCK))).alias("at"))
+    place = lambda j: F.least(F.col("at") + 4 * j, F.col("last"))
+    return blocks.select(*columns, *[F.xxhash64(F.substring(F.col("code"), place(j), F.lit(wide))).alias(f"h{j}") for j in range(BLOCK)])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """k1, k2 and the minima of every line that has at least a window."""
-    wide = 4 * WIDTH  # characters of four bytes each, so that a window is found by its place
-    coded = lines_of(docs).filter(F.length("line") >= WIDTH).select("k1", "k2", F.encode("line", "UTF-32").alias("code"))
-    at = F.explode(F.sequence(F.lit(1), F.octet_length("code") - (wide - 1), F.lit(4))).alias("at")
-    hashed = coded.select("k1", "k2", "code", at).select("k1", "k2", F.xxhash64(F.substring(F.col("code"), F.col("at"), F.lit(wide))).alias("h"))
-    return hashed.groupBy("k1", "k2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(NUMBERS)])
+    hashed = hashed_windows(lines_of(docs), "k1", "k2")
+    least = lambda c: F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(c)) for j in range(BLOCK)])
+    return hashed.groupBy("k1", "k2").agg(*[F.min(least(c)).alias(f"m{i}") for i, c in enumerate(NUMBERS)])
 
 
 def band_keys(classes: DataFrame, work: Workspace) -> DataFrame:
-    """(key, node) of the classes that aren't alone under a key; a few bands at a time, so that shuffles stay small."""
-    signed, numbered, parts = classes.filter("m0 is not null"), list(enumerate(BANDS)), []
+    """(key, node) of the classes that aren't alone under a key; a few bands at a time, so that shuffles stay small.
+
+    Two classes that are alone together under several keys are one list.
+    """
+    signed, numbered, parts, pairs = classes.filter("m0 is not null"), list(enumerate(BANDS)), [], []
     for i in range(0, len(BANDS), BANDS_AT_ONCE):
         bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in band]) for b, band in numbered[i : i + BANDS_AT_ONCE]])
         keys = signed.select("node", F.explode(bands).alias("key"))
         lists = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("members > 1")
         lists = work.keep(lists, f"band-lists-{i}")
         work.release()
-        two = lists.filter("members = 2").select("key", F.explode(F.array("a", "b")).alias("node"))
-        more = keys.join(lists.filter("members > 2").select("key"), "key", "left_semi")
-        parts.append(work.keep(two.unionByName(more), f"band-keys-{i}"))
-        work.drop(f"band-lists-{i}")
+        pairs.append(lists.filter("members = 2").select("a", "b"))
+        more = keys.join(small(lists.filter("members > 2").select("key")), "key", "left_semi")
+        parts.append(work.keep(more, f"band-keys-{i}"))
         work.release()
+    two = reduce(DataFrame.unionByName, pairs).distinct().select(F.xxhash64(F.lit(len(BANDS)), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node"))
+    parts.append(work.keep(two, "band-pairs"))
+    for i in range(0, len(BANDS), BANDS_AT_ONCE):
+        work.drop(f"band-lists-{i}")
+    work.release()
     return reduce(DataFrame.unionByName, parts)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df (a written table), to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
+
+
 def bodies(docs: DataFrame, chosen: DataFrame, work: Workspace) -> DataFrame:
     """node, n, copies, body (its line) of the chosen classes."""
     total = chosen.count()
     own = chosen.select("k1", "k2", F.col("place.doc_id").alias("at_doc"), F.col("place.line_no").alias("at_line"), "node", "copies")
     own = F.broadcast(own) if total <= BROADCAST_LINES else own
-    lines = lines_of(docs).filter(F.length("line") >= WIDTH)
-    same = (lines["k1"] == own["k1"]) & (lines["k2"] == own["k2"]) & (lines["line_no"] == own["at_line"]) & lines["doc_id"].eqNullSafe(own["at_doc"])
-    found = lines.join(own, same).select("node", "copies", F.size(F.array_distinct(windows(F.col("line")))).cast("long").alias("n"), F.col("line").alias("body"))
+    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "raw"))
+    at = at.join(own, (at["line_no"] == own["at_line"]) & at["doc_id"].eqNullSafe(own["at_doc"])).withColumn("line", as_compared("raw"))
+    # Rows may share an id: the line must be the one whose hashes are k1 and k2.
+    lines = at.filter((F.xxhash64("line") == F.col("k1")) & (F.xxhash64(F.lit(1), "line") == F.col("k2")))
+    found = lines.select("node", "copies", F.size(F.array_distinct(windows(F.col("line")))).cast("long").alias("n"), F.col("line").alias("body"))
     found = work.keep(found, "found-sets")
     # Rows that are repeated, or share an id, may give a line more than once.
     return found if found.count() == total else work.keep(found.dropDuplicates(["node"]), "sets")
@@ -131,6 +162,49 @@ def prefix_pairs(few: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def window_maps(sets: DataFrame) -> DataFrame:
+    """node and the words b0, b1, ... of its map: the bits that its windows' hashes name."""
+    hashed = hashed_windows(sets.select("node", F.col("body").alias("line")), "node")
+    single = hashed.select("node", F.explode(F.array(*[f"h{j}" for j in range(BLOCK)])).alias("h"))
+    word, bit = F.pmod(F.shiftright("h", 6), F.lit(MAP_BITS // 64)).cast("int"), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = single.select("node", word.alias("word"), bit.alias("bit")).groupBy("node", "word").agg(F.bit_or("bit").alias("bits"))
+    return words.groupBy("node").agg(*[F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0).cast("long")).alias(f"b{w}") for w in range(MAP_BITS // 64)])
+
+
+def may_link(x: str, y: str) -> Column:
+    """Whether sizes and maps let two rows link: maps differ in no more bits than the sets in windows."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.b{w}").bitwiseXOR(F.col(f"{y}.b{w}"))) for w in range(MAP_BITS // 64)])
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+
+
+def list_pairs(row: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b) of all members (key, node, n, root, outside, least_n) of a list that may link and have different roots.
+
+    A short list's are paired where their maps allow a link, which loses none; those of longer lists go by prefixes.
+    """
+    sizes = row.groupBy("key").agg((F.count_if("outside") * F.count("*") > PAIRED).alias("long"))
+    row = row.join(sizes, "key")
+    few = row.filter("long").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.min("least_n").alias("least_n"))
+    short = work.keep(row.filter("not long").select("key", "node", "n", "root", "outside"), "short-lists")
+    few = work.keep(few, "long-lists")
+    maps = work.keep(window_maps(sets.join(short.select("node").distinct(), "node", "left_semi")), "maps")
+    mapped = work.keep(short.join(maps, "node"), "mapped")
+    work.drop("short-lists")
+    work.drop("maps")
+    work.release()
+    x, y = mapped.filter("outside").alias("x"), mapped.alias("y")
+    once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & may_link("x", "y"))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    if few.isEmpty():
+        return pairs
+    pairs = work.keep(pairs, "short-pairs")
+    work.drop("mapped")
+    work.release()
+    return pairs.unionByName(prefix_pairs(few, sets, work)).distinct()
+
+
 def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, group_size, kept of every line."""
     blank = F.col("line") == ""
@@ -143,21 +217,23 @@ def dedup(docs: DataFrame, work: Workspace) -> DataFrame:
     work.release()
     nodes = classes.select("k1", "k2", "node", "place", "copies")
     keys = band_keys(classes, work)
-    chosen = work.keep(nodes.join(keys.select("node").distinct(), "node", "left_semi"), "chosen")
+    alike = work.keep(keys.select("node").distinct(), "alike")
+    chosen = work.keep(nodes.join(small(alike), "node", "left_semi"), "chosen")
+    work.drop("alike")
     work.release()
     sets = bodies(docs, chosen, work)
     keys = work.keep(keys.join(sets.select("node", "n", "copies", F.col("n").alias("useful")), "node"), "keys")
-    for done in (*(f"band-keys-{i}" for i in range(0, len(BANDS), BANDS_AT_ONCE)), "chosen"):
+    for done in (*(f"band-keys-{i}" for i in range(0, len(BANDS), BANDS_AT_ONCE)), "band-pairs", "chosen"):
         work.drop(done)
     work.release()
 
-    def indexed(few: DataFrame) -> DataFrame:
-        return prefix_pairs(few, sets, work)
+    def indexed(row: DataFrame) -> DataFrame:
+        return list_pairs(row, sets, work)
 
     roots = work.keep(linked_classes(keys, sets, Measure(PERCENT), work, windows, indexed), "linked")
     groups = roots.join(nodes, "node").groupBy("root").agg(F.min("place").alias("keep"), F.sum("copies").alias("group_size"))
-    named = roots.join(groups, "root").select("node", "keep", "group_size")
-    names = nodes.join(named, "node", "left").select(F.struct("k1", "k2").alias("k"), "copies", F.coalesce("keep", "place").alias("keep"), F.coalesce("group_size", "copies").alias("group_size"))
+    named = work.keep(roots.join(groups, "root").select("node", "keep", "group_size"), "named")
+    names = nodes.join(small(named), "node", "left").select(F.struct("k1", "k2").alias("k"), "copies", F.coalesce("keep", "place").alias("keep"), F.coalesce("group_size", "copies").alias("group_size"))
     names = work.keep(names, "names")
     for done in ("classes", "found-sets", "sets", "keys"):
         work.drop(done)
