@@ -42,8 +42,8 @@ SHARES = 4
 BLOCK = 4
 #: Bits of the map of a set's windows, by which pairs of a list are told apart; a matter of time alone.
 MAP_BITS = 2048
-#: A list of at most so many pairs of members is paired with itself; longer ones go by prefixes.
-PAIRED = 250_000
+#: A list of at most so many pairs of members is paired with itself; longer ones go by prefixes, which loses no link either.
+PAIRED = 2_500
 #: Spread evenly over 64 bits, so that they meet different hashes also of small sets.
 NUMBERS = [((i << 64) // MINIMA + random.Random(20 + i).getrandbits(58)) - (1 << 63) for i in range(MINIMA)]
 #: Lines up to which a selection of them is broadcast (at most 80 bytes each); beyond, it is joined by shuffle.
